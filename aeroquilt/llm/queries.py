@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality, warc
+from . import line_dedup, packing, quality, warc
 
 QUERIES = {
     "op4_warc_revisits": warc.op4_warc_revisits,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
 }
 
 SQL = {
