@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, quality, tokens, warc
+from . import line_dedup, packing, pii, quality, tokens, warc
 
 QUERIES = {
     "op4_warc_revisits": warc.op4_warc_revisits,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_personal_data": pii.op8_personal_data,
     "op9_token_counts": tokens.op9_token_counts,
 }
 
