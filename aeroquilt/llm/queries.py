@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, pii, quality, tokens, warc
+from . import line_dedup, near_dup, packing, pii, quality, tokens, warc
 
 QUERIES = {
     "op4_warc_revisits": warc.op4_warc_revisits,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_personal_data": pii.op8_personal_data,
     "op9_token_counts": tokens.op9_token_counts,
+    "op10_near_duplicates": near_dup.op10_near_duplicates,
 }
 
 SQL = {
