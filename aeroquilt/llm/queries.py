@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_dedup, near_dup, packing, pii, quality, tokens, warc
+from . import decontaminate, licenses, line_dedup, lm_score, near_dup, packing, pii, quality, tokens, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_licence_scan": licenses.op2_licence_scan,
+    "op3_lm_scores": lm_score.op3_lm_scores,
     "op4_warc_revisits": warc.op4_warc_revisits,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_line_dedup": line_dedup.op6_line_dedup,
