@@ -10,8 +10,8 @@
     components; those pairs are verified the same way.  No bucket emits all its pairs, and none is capped.
 4.  Classes are connected components by repeated hops to the smallest neighbour.
 
-Defined cases: a document without words is a class of its own; one with fewer than five words has one shingle of all of them; rows of one
-id share a class; a null id forms a class of its own (null).
+Defined cases: equal texts share a class, empty and null ones too; a document without words has no other near duplicates; one with fewer
+than five words has one shingle of all of them; an id with several texts goes by the one of the least digest; rows without an id are left out.
 """
 
 from __future__ import annotations
@@ -236,7 +236,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weights = fit_weights(given, "text", k)
     signed = materialise(sign(given, weights, k, bands, rows), "near-signed")
     samples = bands * rows
-    reps = signed.where("signature is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature"), F.min("weight").alias("weight"))
+    one = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("digest", "signature", "weight")).alias("s")).select("doc_id", "s.*")
+    reps = one.where("signature is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature"), F.min("weight").alias("weight"))
     reps = materialise(reps, "near-reps")
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * 4 * rows + 1, F.lit(4 * rows))))
     member = reps.select("doc_id", F.explode(keys).alias("key"))
@@ -259,10 +260,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = more.join(pairs, ["a", "b"], "left_anti")
     links = links.unionByName(materialise(verify(materialise(more, "near-more"), texts, weights, least, k), "near-links-2"))
     label = components(links).withColumnRenamed("doc_id", "rep")
-    copies = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("digest"), F.bool_or(F.col("signature").isNotNull()).alias("worded"))
-    first = reps.select(F.col("doc_id").alias("rep"), "digest")
-    out = copies.join(first, "digest", "left").withColumn("rep", F.when(F.col("worded"), F.col("rep")).otherwise(F.col("doc_id")))
-    out = out.join(label, "rep", "left")
+    copies = one.select("doc_id", "digest")
+    first = copies.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    out = copies.join(first, "digest").join(label, "rep", "left")
     return out.select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_of"))
 
 
