@@ -85,7 +85,7 @@ def solve_gains(pairs: DataFrame, sigma_n: float = 10.0, sigma_g: float = 0.1) -
     w = F.col("n") / (sigma_n * sigma_n)
     terms = pairs.select(F.explode(F.array(*[F.struct(F.col(r).cast("int").alias("r"), F.col(c).cast("int").alias("c"), v.alias("v")) for r, c, v in (("i", "i", w * a * a), ("j", "j", w * b * b), ("i", "j", -w * a * b), ("j", "i", -w * a * b))])).alias("t"))
     rows = terms.groupBy("t.r", "t.c").agg(F.sum("t.v").alias("v")).collect()
-    size = pairs.groupBy(F.explode(F.array(F.col("i").cast("int"), F.col("j").cast("int"))).alias("k")).agg(F.sum("n").alias("n")).collect()
+    size = pairs.select(F.explode(F.array(F.col("i").cast("int"), F.col("j").cast("int"))).alias("k"), "n").groupBy("k").agg(F.sum("n").alias("n")).collect()
     names = sorted(r["k"] for r in size)
     at = {k: i for i, k in enumerate(names)}
     A, y = np.zeros((len(names), len(names))), np.zeros(len(names))

@@ -151,10 +151,10 @@ def _levels(n: int) -> str:
     return ", ".join(parts)
 
 
-@query(f"{GAPS}, {_levels(3)} select row, col, round(z, 4) as z from f0")
+@query(f"{GAPS}, {_levels(3)} select row, col, round(z + 1e-7, 4) as z from f0")
 def pyramid_pushpull(spark, sf_dir):
     """24 columns: three levels until the short side is at most four."""
-    return R.push_pull(gaps(spark, sf_dir)).select("row", "col", F.round("z", 4).alias("z"))
+    return R.push_pull(gaps(spark, sf_dir)).select("row", "col", F.round(F.col("z") + 1e-7, 4).alias("z"))
 
 
 def _open_sql(i: int, w: int, before: str, dh: float) -> str:
