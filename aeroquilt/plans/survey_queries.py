@@ -9,7 +9,9 @@ from ..functions import camera as C
 from ..functions import geo
 from ..functions import radiometry as TH
 from ..operators import blocks as B
+from ..operators import kernels as K
 from ..operators import matching as M
+from ..operators import seams as SE
 from ..operators import spatial as S
 from ..sources import text as TX
 from .fixtures import DESCRIPTORS, ctes, descriptors, view
@@ -355,6 +357,32 @@ def source_topk(spark, sf_dir):
     return view(spark, sf_dir, "photo_samples").withColumn("rank", F.row_number().over(w)).where("rank <= 6").select("row", "col", "photo", "rank")
 
 
+_SRC = "c as (select row, col, photo as label, 1 - max(weight) as cost from photo_samples group by row, col, photo)"
+
+
+def _sweep(i: int) -> str:
+    near = f"(select count(*) from l{i} n where abs(n.row - c.row) + abs(n.col - c.col) = 1 and n.label <> c.label)"
+    return f"s{i} as (select c.row, c.col, c.label, c.cost + 0.15e0 * {near} as cost from c), l{i + 1} as (select row, col, label from (select *, row_number() over (partition by row, col order by cost, label) as k from s{i}) where k = 1)"
+
+
+@query(f"with {ctes('photo_samples')}, {_SRC}, l0 as (select row, col, label from (select *, row_number() over (partition by row, col order by cost, label) as k from c) where k = 1), {_sweep(0)}, {_sweep(1)} select row, col, label from l2")
+def source_labels(spark, sf_dir):
+    costs = view(spark, sf_dir, "photo_samples").groupBy("row", "col", F.col("photo").alias("label")).agg((1 - F.max("weight")).alias("cost"))
+    return SE.potts_labels(costs, 0.15, 2)
+
+
+@query()
+def verified_pairs(spark, sf_dir):
+    m = view(spark, sf_dir, "pair_matches").selectExpr("i", "j", "k", "xi", "yi", "xi*1.01e0+yi*0.02e0+k%7 as xj", "yi*0.99e0-xi*0.02e0+(case when k%11=0 then 300 else 0 end) as yj")
+    return K.verify_pairs(m, threshold=6.0).groupBy("i", "j").agg(F.count("*").alias("inliers"), F.round(F.first("a"), 4).alias("a"), F.round(F.first("e"), 4).alias("e"))
+
+
+@query()
+def semi_global_depth(spark, sf_dir):
+    c = view(spark, sf_dir, "cells").selectExpr("cast(0 as int) as tile", "row", "col", "z", "explode(sequence(0, 15)) as k")
+    return K.match_depth(c.selectExpr("tile", "row", "col", "k", "abs(z - 35 - k) as cost"), 0.5, 4.0)
+
+
 # --- thermal -----------------------------------------------------------------------------------------------------------------------------
 
 _TAU = "with_tau as (select *, least(greatest(1.9e0*exp(-sqrt(d)*(0.006569e0-0.002276e0*sqrt(h2o)))-0.9e0*exp(-sqrt(d)*(0.01262e0-0.00667e0*sqrt(h2o))),0.05e0),1e0) as tau from (select *, 5e0+event_id%20 as d, 0.5e0*exp(1.5587e0+0.06939e0*25-0.00027816e0*625+6.8455e-7*15625) as h2o from raw_counts))"
