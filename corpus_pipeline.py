@@ -17,16 +17,27 @@ from aeroquilt.llm.packing import pack_documents
 from aeroquilt.llm.quality import quality
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """Id, text, and all other columns in one, so that no column of a table clashes with one that an operator adds."""
+    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*rest) if rest else F.lit(None)).alias("__rest"))
+
+
+def _restored(df: DataFrame, columns: list[str], **new) -> DataFrame:
+    return df.select(*[new[c].alias(c) if c in new else F.col(c) if c in ("doc_id", "text") else F.col(f"__rest.{c}") for c in columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality(docs).where("kept").select(*docs.columns)
+    return _restored(quality(_carried(docs)).where("kept"), docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that a smaller document holds; the character count follows the text, null texts stay null."""
-    out = dedup_lines(docs)
-    text = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", text).select(*docs.columns)
+    """Documents without lines that a smaller document holds; the character count follows the text, which is empty where it was null."""
+    out = dedup_lines(_carried(docs))
+    if "n_chars" not in docs.columns:
+        return _restored(out, docs.columns)
+    return _restored(out, docs.columns, n_chars=F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("__rest.n_chars")))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
