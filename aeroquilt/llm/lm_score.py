@@ -6,7 +6,7 @@ A document's score is its mean per-token loss under the target less that under t
 
 Counts are exact and unpruned.  Tasks pre-aggregate their n-grams before the shuffle.  For scoring, n-grams with at least
 1 / ``FREQUENT`` of all tokens - at most ``FREQUENT`` of them, however large the corpus - are broadcast; all the rarer ones are joined by
-(document, n-gram) rows, which by their rarity have no hot key.
+(document, n-gram) rows, which by their rarity have no hot key.  Target ids are broadcast as integers up to ``MOST_IDS`` of them; more are joined.
 
 Defined cases: a null or empty text has no tokens and null losses; every document starts after ``ORDER - 1`` start bytes; with no target
 documents the target model is uniform; rows of one id are scored one by one; labels of ids that are not there are ignored.
@@ -27,6 +27,7 @@ from .textnum import _LOWER, buffers, chunks, mix
 ORDER = 5
 VOCABULARY = 256
 FREQUENT = 4_000_000
+MOST_IDS = 4_000_000
 
 
 def grams(data: np.ndarray, off: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -56,8 +57,8 @@ def tally(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarra
     return keys[starts], np.add.reduceat(counts, starts)
 
 
-def count_grams(docs: DataFrame, text_col: str, target_col: str, order: int = ORDER, most: int = 6_000_000) -> DataFrame:
-    """(g, b, t): times in all documents and in target ones."""
+def count_grams(docs: DataFrame, text_col: str, target_col: str, order: int = ORDER, most: int = 6_000_000, target_ids=None) -> DataFrame:
+    """(g, b, t): times in all documents and in target ones.  ``target_col`` is a flag, or an id to look up in the broadcast ``target_ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {"b": [], "t": []}
@@ -79,7 +80,13 @@ def count_grams(docs: DataFrame, text_col: str, target_col: str, order: int = OR
 
         for batch in batches:
             data, off = buffers(batch.column(0))
-            target = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
+            if target_ids is None:
+                target = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
+            else:
+                ids = target_ids.value
+                own = batch.column(1).fill_null(0).to_numpy()
+                target = ids[np.minimum(np.searchsorted(ids, own), len(ids) - 1)] == own if len(ids) else np.zeros(len(own), bool)
+                target &= batch.column(1).is_valid().to_numpy(zero_copy_only=False)
             for i, j in chunks(off):
                 o = off[i : j + 1] - off[i]
                 g = grams(data[off[i] : off[j]], o, order)
@@ -197,9 +204,14 @@ def score(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: s
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """Scores of all ``docs``; ``target_ids`` (one column, ``id_col``) names the target documents."""
-    wanted = target_ids.select(F.col(id_col)).distinct().withColumn("__target", F.lit(True))
-    marked = docs.select(id_col, F.col(text_col).alias("__text")).join(wanted, id_col, "left")
-    counts = materialise(count_grams(marked, "__text", "__target", order), "lm-counts")
+    wanted = target_ids.select(F.col(id_col).cast("long").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
+    given = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("__text"))
+    if wanted.count() <= MOST_IDS:
+        ids = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column(0).to_numpy()))  # at most MOST_IDS of 8 bytes
+        counted = count_grams(given, "__text", id_col, order, target_ids=ids)
+    else:
+        counted = count_grams(given.join(wanted.withColumn("__target", F.lit(True)), id_col, "left"), "__text", "__target", order)
+    counts = materialise(counted, "lm-counts")
     model = materialise(fit(counts, order), "lm-model")
     return score(docs, model, id_col, text_col, order)
 
