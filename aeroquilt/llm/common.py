@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -36,8 +37,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def _clean() -> None:
     spark = SparkSession.getActiveSession()
     if spark is not None:
-        for path in list(_scratch):
-            remove(spark, path)
+        with contextlib.suppress(Exception):  # the session may be gone
+            for path in list(_scratch):
+                remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
