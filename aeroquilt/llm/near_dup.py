@@ -6,8 +6,8 @@
 2.  Signatures.  Each document's weighted shingles give ``BANDS * ROWS`` consistent weighted samples.  Exact copies (by 128-bit digest of
     the text) collapse to one representative.
 3.  Links.  In each band bucket all members are linked to the smallest one, and links are verified by exact weighted Jaccard similarity.
-    Buckets that then still hold several components are searched again on signatures, in blocks of bounded size, for pairs across
-    components; those pairs are verified the same way.  No bucket emits all its pairs, and none is capped.
+    Buckets that then still hold several components are searched again, in blocks of bounded size: pairs across components that agree on
+    enough samples are verified, likeliest first, until no component can be joined.  No bucket emits all its pairs, and none is capped.
 4.  Classes are connected components by repeated hops to the smallest neighbour.
 
 Defined cases: equal texts share a class, empty and null ones too; a document without words has no other near duplicates; one with fewer
@@ -73,22 +73,44 @@ def fit_weights(docs: DataFrame, text_col: str, k: int = 5, theta: float = THETA
     share = max(theta, 1 / max(n, 1))
 
     def candidates(batches):
-        held, size, rows = [], 0, 0
+        held, size, rows, full = [], 0, 0, None
 
-        def flush():
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h[c > share * rows].view(np.int64))], ["h"])
+        def tally(parts, n):
+            h, c = np.unique(np.concatenate(parts), return_counts=True)
+            return h, c, n
+
+        def named(h, c, n):
+            return pa.RecordBatch.from_arrays([pa.array(h[c > share * n].view(np.int64))], ["h"])
 
         for batch in batches:
             for i, j, h, _, _ in vectors(batch.column(0), k):
                 held.append(h)
                 size, rows = size + len(h), rows + j - i
-                if size >= chunk and rows * share >= 2:
-                    yield flush()
-                    held, size, rows = [], 0, 0
-        if held:
-            yield flush()
+                if size >= chunk and rows * share >= 3:
+                    if full is not None:
+                        yield named(*full)
+                    full, held, size, rows = tally(held, rows), [], 0, 0
+        if held and full is not None:  # a short rest would name nearly everything in it: count it with the chunk before
+            h, c, n = tally(held, rows)
+            every = np.concatenate([full[0], h])
+            order = np.argsort(every, kind="stable")
+            every, times = every[order], np.concatenate([full[1], c])[order]
+            starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+            full = every[starts], np.add.reduceat(times, starts), full[2] + n
+        elif held:
+            full = tally(held, rows)
+        if full is not None:
+            yield named(*full)
+
+    def tallies(batches):
+        for batch in batches:
+            for _, _, h, _, _ in vectors(batch.column(0), k):
+                h, c = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "n"])
 
+    if n * share < 3:  # few documents: nearly every shingle would be a candidate, so count them all where they are
+        counted = texts.mapInArrow(tallies, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > share * n).toArrow()
+        return Weights(n, counted.column("h").to_numpy().view(np.uint64), counted.column("n").to_numpy().astype(np.float64), theta)
     named = texts.mapInArrow(candidates, "h long").distinct()
     keys = np.sort(named.toArrow().column(0).to_numpy().view(np.uint64)) if n else np.zeros(0, np.uint64)
     if not len(keys):
@@ -205,26 +227,45 @@ def components(links: DataFrame, name: str = "near-components") -> DataFrame:
         before = after
 
 
-def _across(samples: int, least_equal: int, block: int):
-    """Pairs of a bucket's block pair that lie in different components and agree on enough samples."""
+def _across(samples: int, least_equal: int, least: float, k: int, weights):
+    """Verified links that join the components of a bucket's block pair: likeliest pairs first, each component merged once."""
 
     def run(group: pa.Table) -> pa.Table:
-        ids, comp = group.column("doc_id").to_numpy(), group.column("comp").to_numpy()
-        weight, side = group.column("weight").to_numpy(), group.column("blk").to_numpy()
+        ids, weight, side = (group.column(c).to_numpy() for c in ("doc_id", "weight", "blk"))
+        _, comp = np.unique(group.column("comp").to_numpy(), return_inverse=True)
         s = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(len(ids), samples)
         low, high = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
         left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
-        out_a, out_b = [], []
+        found = []
         for i in left:
             other = right[(comp[right] != comp[i]) & (np.minimum(weight[right], weight[i]) >= 0.7 * np.maximum(weight[right], weight[i]))]
-            if low == high:
-                other = other[other > i]
-            hit = other[(s[other] == s[i]).sum(axis=1) >= least_equal]
-            out_a.append(np.minimum(ids[hit], ids[i]))
-            out_b.append(np.maximum(ids[hit], ids[i]))
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            other = other[other > i] if low == high else other
+            equal = (s[other] == s[i]).sum(axis=1)
+            hit = equal >= least_equal
+            found.append(np.stack([equal[hit], np.full(int(hit.sum()), i), other[hit]]))
+        found = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        root = list(range(int(comp.max()) + 1 if len(comp) else 0))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        texts, weigh, known, links = group.column("text"), weights.value, {}, []
+
+        def vector(i: int):
+            if i not in known:
+                _, _, h, _, times = next(vectors(texts.slice(i, 1), k))
+                known[i] = h, weigh(h, times)
+            return known[i]
+
+        for _, i, j in found[:, np.argsort(-found[0], kind="stable")].T.tolist():
+            a, b = find(int(comp[i])), find(int(comp[j]))
+            if a != b and weighted_jaccard(vector(i), vector(j)) >= least:
+                root[max(a, b)] = min(a, b)
+                links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return run
 
@@ -256,9 +297,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = named.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     spread = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other"))
-    more = spread.groupBy("key", "lo", "hi").applyInArrow(_across(samples, int(0.55 * samples), BLOCK), "a long, b long").distinct()
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(materialise(verify(materialise(more, "near-more"), texts, weights, least, k), "near-links-2"))
+    spread = spread.join(texts, "doc_id").select("key", "lo", "hi", "blk", "doc_id", "comp", "weight", "signature", "text")
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    more = spread.groupBy("key", "lo", "hi").applyInArrow(_across(samples, int(0.55 * samples), least, k, shared), "a long, b long")
+    links = links.unionByName(materialise(more, "near-more"))
     label = components(links).withColumnRenamed("doc_id", "rep")
     copies = one.select("doc_id", "digest")
     first = copies.groupBy("digest").agg(F.min("doc_id").alias("rep"))
