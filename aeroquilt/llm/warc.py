@@ -26,13 +26,14 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def base32_sha1(data: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a binary column: four groups of 40 bits, eight letters each."""
-    h = F.sha1(data)
-    letters = []
-    for group in range(4):
-        v = F.conv(F.substring(h, 1 + 10 * group, 10), 16, 10).cast("long")
-        letters += [F.substring(F.lit(ALPHABET), (F.shiftright(v, 35 - 5 * k).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for k in range(8)]
-    return F.concat(*letters)
+    """Upper-case base32 of the SHA-1 of a binary column: four groups of 40 bits, eight letters each.
+
+    Lambda arguments hold the digest and each group's integer, so that neither is computed again for every letter.
+    """
+    letter = lambda v, k: F.substring(F.lit(ALPHABET), (F.shiftright(v, 35 - 5 * k).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1))
+    group = lambda h, i: F.conv(F.substring(h, F.lit(10 * i + 1), F.lit(10)), 16, 10).cast("long")
+    text = lambda h: F.array_join(F.transform(F.array(*[group(h, i) for i in range(4)]), lambda v: F.concat(*[letter(v, k) for k in range(8)])), "")
+    return F.transform(F.array(F.sha1(data)), text)[0]
 
 
 def resolve_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
