@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .textnum import buffers
 
-CACHED = 600_000
+CACHED = 1_500_000
 MARK = "▁"
 _counters: dict = {}
 
@@ -50,9 +50,21 @@ class ViterbiCounter:
         for piece, score in seen.items():
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.singles = frozenset(p for p in seen if len(p) == 1)
 
     def count(self, word: str) -> int:
         n = len(word)
+        if self.singles.issuperset(word):  # no unknown node can occur, and every end can be reached
+            best, pieces, at = [0.0] * (n + 1), [0] * (n + 1), 0
+            for end, (length, score) in self.automaton.iter(word):  # the longest match of an end comes first
+                start = end + 1 - length
+                score += best[start]
+                if end >= at:
+                    at = end + 1
+                    best[at], pieces[at] = score, pieces[start] + 1
+                elif score > best[at]:
+                    best[at], pieces[at] = score, pieces[start] + 1
+            return pieces[n]
         ends: list[list] = [[] for _ in range(n)]
         for end, (length, score) in self.automaton.iter(word):
             ends[end].append((length, score))
