@@ -227,21 +227,25 @@ def components(links: DataFrame, name: str = "near-components") -> DataFrame:
         before = after
 
 
-def _across(samples: int, least_equal: int, least: float, k: int, weights):
-    """Verified links that join the components of a bucket's block pair: likeliest pairs first, each component merged once."""
+def _across(samples: int, least_equal: int, least: float, k: int, weights, rows: int = ROWS):
+    """Verified links that join the components of a bucket's block pair: likeliest pairs first, each component merged once.
+
+    A pair that shares several buckets is looked at in the one of its first common band.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         ids, weight, side = (group.column(c).to_numpy() for c in ("doc_id", "weight", "blk"))
         _, comp = np.unique(group.column("comp").to_numpy(), return_inverse=True)
         s = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(len(ids), samples)
-        low, high = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        low, high, band = (group.column(c)[0].as_py() for c in ("lo", "hi", "band"))
         left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
         found = []
         for i in left:
             other = right[(comp[right] != comp[i]) & (np.minimum(weight[right], weight[i]) >= 0.7 * np.maximum(weight[right], weight[i]))]
             other = other[other > i] if low == high else other
             equal = (s[other] == s[i]).sum(axis=1)
-            hit = equal >= least_equal
+            before = (s[other, : band * rows] == s[i, : band * rows]).reshape(len(other), band, rows).all(axis=2).any(axis=1)
+            hit = (equal >= least_equal) & ~before
             found.append(np.stack([equal[hit], np.full(int(hit.sum()), i), other[hit]]))
         found = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
         root = list(range(int(comp.max()) + 1 if len(comp) else 0))
@@ -280,8 +284,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("digest", "signature", "weight")).alias("s")).select("doc_id", "s.*")
     reps = one.where("signature is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature"), F.min("weight").alias("weight"))
     reps = materialise(reps, "near-reps")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * 4 * rows + 1, F.lit(4 * rows))))
-    member = reps.select("doc_id", F.explode(keys).alias("key"))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring(F.col("signature"), i * 4 * rows + 1, F.lit(4 * rows))).alias("key")))
+    member = reps.select("doc_id", F.explode(keys).alias("k")).select("doc_id", "k.band", "k.key")
     hubs = member.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("key", "hub")
     buckets = materialise(member.join(hubs, "key"), "near-buckets")
     pairs = buckets.where("doc_id > hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -291,15 +295,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialise(verify(pairs, texts, weights, least, k), "near-links")
     label = components(links)
     # Buckets with several components left: look across them.
-    named = buckets.join(label, "doc_id", "left").withColumn("comp", F.coalesce("class_id", "doc_id")).select("key", "doc_id", "comp")
+    named = buckets.join(label, "doc_id", "left").withColumn("comp", F.coalesce("class_id", "doc_id")).select("band", "key", "doc_id", "comp")
     split = named.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("doc_id").alias("hub")).where("c0 < c1 and size > 2")
     named = named.join(split.select("key", "size"), "key").join(reps.select("doc_id", "weight", "signature"), "doc_id")
     named = named.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     spread = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other"))
-    spread = spread.join(texts, "doc_id").select("key", "lo", "hi", "blk", "doc_id", "comp", "weight", "signature", "text")
+    spread = spread.join(texts, "doc_id").select("band", "key", "lo", "hi", "blk", "doc_id", "comp", "weight", "signature", "text")
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    more = spread.groupBy("key", "lo", "hi").applyInArrow(_across(samples, int(0.55 * samples), least, k, shared), "a long, b long")
+    more = spread.groupBy("key", "lo", "hi").applyInArrow(_across(samples, int(0.55 * samples), least, k, shared, rows), "a long, b long")
     links = links.unionByName(materialise(more, "near-more"))
     label = components(links).withColumnRenamed("doc_id", "rep")
     copies = one.select("doc_id", "digest")

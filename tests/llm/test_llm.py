@@ -206,12 +206,12 @@ def test_near_duplicates(spark):
 
 def test_buckets_with_several_components_are_joined(spark):
     """A hub that is like none of its bucket, and members that are like each other."""
-    run = near_dup._across(4, 2, 0.8, 5, type("W", (), {"value": near_dup.Weights(10, np.zeros(0, np.uint64), np.zeros(0))})())
+    run = near_dup._across(4, 2, 0.8, 5, type("W", (), {"value": near_dup.Weights(10, np.zeros(0, np.uint64), np.zeros(0))})(), 2)
     import pyarrow as pa
 
     texts = [prose(1), prose(2), prose(2) + " tail", prose(3)]
     sig = np.array([[1, 2, 3, 4], [1, 2, 9, 9], [1, 2, 9, 8], [1, 2, 7, 7]], np.uint32)
-    group = pa.table({"lo": [0] * 4, "hi": [0] * 4, "blk": [0] * 4, "doc_id": [1, 2, 3, 4], "comp": [1, 2, 3, 4], "weight": [100.0] * 4, "signature": [s.tobytes() for s in sig], "text": texts})
+    group = pa.table({"band": [0] * 4, "lo": [0] * 4, "hi": [0] * 4, "blk": [0] * 4, "doc_id": [1, 2, 3, 4], "comp": [1, 2, 3, 4], "weight": [100.0] * 4, "signature": [s.tobytes() for s in sig], "text": texts})
     assert run(group).to_pylist() == [{"a": 2, "b": 3}]
 
 
