@@ -2,7 +2,8 @@
 
 1.  Document frequencies.  A shingle is frequent if more than ``THETA`` of all documents hold it.  Every frequent shingle is frequent
     in some chunk of documents, so chunks name candidates and a second pass counts the candidates everywhere: exact counts, and a
-    table bounded by (mean shingles per document) / THETA rows.  Rarer shingles share the highest weight, log(1 + 1 / THETA).
+    table bounded by (mean shingles per document) / THETA rows, which is broadcast.  All other shingles are dealt out by ranges of their
+    hash and counted there, exactly too; counts above one go back to the documents.  No weight is clipped or estimated.
 2.  Signatures.  Each document's weighted shingles give ``BANDS * ROWS`` consistent weighted samples.  Exact copies (by 128-bit digest of
     the text) collapse to one representative.
 3.  Links.  In each band bucket all members are linked to the smallest one, and links are verified by exact weighted Jaccard similarity.
@@ -30,6 +31,7 @@ THETA = 1e-3
 BANDS, ROWS = 10, 4
 SIMILAR = 0.8
 BLOCK = 1024
+HELD = 1 << 21  # shingles that a task sorts before it deals them out
 _TABLE_BITS = 16
 
 
@@ -49,21 +51,45 @@ def vectors(column, k: int = 5, most: int = 1 << 20) -> Iterator[tuple[int, int,
 
 
 class Weights:
-    """TF-IDF weight: times in the document, times log(1 + N / max(df, THETA * N))."""
+    """TF-IDF weight: times in the document, times log(1 + N / df); holds the document frequencies of the frequent shingles."""
 
-    def __init__(self, n: int, frequent: np.ndarray, df: np.ndarray, theta: float = THETA):
+    def __init__(self, n: int, frequent: np.ndarray, df: np.ndarray):
         order = np.argsort(frequent)
-        self.keys = frequent[order]
-        self.values = np.log1p(n / df[order]).astype(np.float32) if n else np.zeros(0, np.float32)
-        self.rare = np.float32(np.log1p(1 / max(theta, 1 / max(n, 1))))
+        self.n, self.keys, self.df = n, frequent[order], df[order].astype(np.uint32)
 
-    def __call__(self, h: np.ndarray, times: np.ndarray) -> np.ndarray:
-        w = np.full(len(h), self.rare, np.float32)
-        if len(self.keys) and len(h):
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            hit = self.keys[at] == h
-            w[hit] = self.values[at[hit]]
-        return w * times.astype(np.float32)
+    def frequent(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which shingles are frequent, and the document frequencies of those."""
+        if not len(self.keys) or not len(h):
+            return np.zeros(len(h), bool), np.zeros(0, np.uint32)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        hit = self.keys[at] == h
+        return hit, self.df[at[hit]]
+
+    def __call__(self, h: np.ndarray, times: np.ndarray, df: np.ndarray | None = None) -> np.ndarray:
+        """``df``: document frequency of each shingle; without it, those that are not frequent count as held once."""
+        if df is None:
+            df = np.ones(len(h), np.uint32)
+            hit, df[hit] = self.frequent(h)
+        return np.log1p(self.n / df).astype(np.float32) * times.astype(np.float32)
+
+
+def pack(a: np.ndarray) -> bytes:
+    """Integers as compressed planes of their bytes: high bytes that are all alike take no room."""
+    return pa.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), "zstd", asbytes=True)
+
+
+def unpack(raw: bytes, n: int, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(raw, n * size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(dtype).ravel()
+
+
+def pack_sorted(h: np.ndarray) -> bytes:
+    return pack(np.diff(h, prepend=np.uint64(0)))
+
+
+def unpack_sorted(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpack(raw, n, np.uint64), dtype=np.uint64)
 
 
 def fit_weights(docs: DataFrame, text_col: str, k: int = 5, theta: float = THETA, chunk: int = 1 << 22) -> Weights:
@@ -110,11 +136,11 @@ def fit_weights(docs: DataFrame, text_col: str, k: int = 5, theta: float = THETA
 
     if n * share < 3:  # few documents: nearly every shingle would be a candidate, so count them all where they are
         counted = texts.mapInArrow(tallies, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > share * n).toArrow()
-        return Weights(n, counted.column("h").to_numpy().view(np.uint64), counted.column("n").to_numpy().astype(np.float64), theta)
+        return Weights(n, counted.column("h").to_numpy().view(np.uint64), counted.column("n").to_numpy())
     named = texts.mapInArrow(candidates, "h long").distinct()
     keys = np.sort(named.toArrow().column(0).to_numpy().view(np.uint64)) if n else np.zeros(0, np.uint64)
     if not len(keys):
-        return Weights(n, keys, np.zeros(0), theta)
+        return Weights(n, keys, np.zeros(0))
     shared = texts.sparkSession.sparkContext.broadcast(keys)
 
     def count(batches):
@@ -128,7 +154,7 @@ def fit_weights(docs: DataFrame, text_col: str, k: int = 5, theta: float = THETA
         yield pa.RecordBatch.from_arrays([pa.array(keys[total > 0].view(np.int64)), pa.array(total[total > 0])], ["h", "n"])
 
     counted = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > share * n).toArrow()
-    return Weights(n, counted.column("h").to_numpy().view(np.uint64), counted.column("n").to_numpy().astype(np.float64), theta)
+    return Weights(n, counted.column("h").to_numpy().view(np.uint64), counted.column("n").to_numpy())
 
 
 def signatures_of(h: np.ndarray, doc: np.ndarray, w: np.ndarray, size: int, tables, samples: int) -> np.ndarray:
@@ -152,24 +178,120 @@ def signatures_of(h: np.ndarray, doc: np.ndarray, w: np.ndarray, size: int, tabl
     return out
 
 
-def sign(docs: DataFrame, weights: Weights, k: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, digest, text`` to ``doc_id, digest, weight, signature`` (null signature: no words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-    samples = bands * rows
+def _edges(ranges: int) -> np.ndarray:
+    """First hash of each range."""
+    return np.array([-(-(r << 32) // ranges) for r in range(ranges)], np.uint64) << np.uint64(32)
 
-    def run(batches):
-        tables, weigh = _samples(), shared.value
+
+def rare_counts(docs: DataFrame, weights, parts: int, ranges: int, k: int = 5) -> DataFrame:
+    """Of ``key, text``: exact document frequencies above one of the shingles that are not frequent.
+
+    Each of the ``ranges`` of hashes is counted by itself; a shingle in it has at most THETA times the documents, so none is heavy.
+    A row holds one range's counts for one part, the keys of one remainder by ``parts``: ``at`` is the place of the document's key in
+    ``keys``, ``rank`` that of the shingle among the document's distinct shingles of the range that are not frequent.
+    """
+
+    def deal(hashes, docs_of, keys):
+        h, doc, keys = np.concatenate(hashes), np.concatenate(docs_of), np.concatenate(keys)
+        order = np.argsort(h)
+        h, doc = h[order], doc[order]
+        cut = np.append(np.searchsorted(h, _edges(ranges)), len(h))
+        for r in np.flatnonzero(np.diff(cut)):
+            some = slice(cut[r], cut[r + 1])
+            who, at = np.unique(doc[some], return_inverse=True)
+            raw = pack_sorted(h[some]), pack(at.astype(np.uint32)), keys[who].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([int(r)], pa.int32()), pa.array([len(at)], pa.int32()), *(pa.array([x], pa.binary()) for x in raw)], ["range", "n", "h", "at", "keys"])
+
+    def spread(batches):
+        hashes, docs_of, keys, size, rows = [], [], [], 0, 0
         for batch in batches:
-            for i, j, h, doc, times in vectors(batch.column(2), k):
-                w = weigh(h, times)
-                s = signatures_of(h, doc, w, j - i, tables, samples)
-                total = np.bincount(doc, w, minlength=j - i) if len(h) else np.zeros(j - i)
-                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * samples), j - i, [None, pa.py_buffer(np.ascontiguousarray(s).tobytes())]).cast(pa.binary())
-                empty = pa.array(total == 0)
-                raw = pa.compute.if_else(empty, pa.scalar(None, pa.binary()), raw)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(total), raw], ["doc_id", "digest", "weight", "signature"])
+            key = batch.column(0).to_numpy()
+            for i, j, h, doc, _ in vectors(batch.column(1), k):
+                rare = ~weights.value.frequent(h)[0]
+                hashes.append(h[rare])
+                docs_of.append(doc[rare] + rows)
+                keys.append(key[i:j])
+                size, rows = size + len(hashes[-1]), rows + j - i
+                if size >= HELD:
+                    yield from deal(hashes, docs_of, keys)
+                    hashes, docs_of, keys, size, rows = [], [], [], 0, 0
+        if size:
+            yield from deal(hashes, docs_of, keys)
+
+    def count(group: pa.Table) -> pa.Table:
+        n, packed = group.column("n").to_pylist(), zip(group.column("at").to_pylist(), group.column("keys").to_pylist(), strict=True)
+        h = np.concatenate([unpack_sorted(x, m) for x, m in zip(group.column("h").to_pylist(), n, strict=True)])
+        key = np.concatenate([np.frombuffer(keys, np.int64)[unpack(x, m, np.uint32)] for (x, keys), m in zip(packed, n, strict=True)])
+        order = np.argsort(h, kind="stable")
+        h, key = h[order], key[order]
+        times = np.diff(np.append(np.flatnonzero(np.r_[True, h[1:] != h[:-1]]), len(h)))
+        df = np.repeat(times, times).astype(np.uint32)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        order = order[np.argsort(key % parts, kind="stable")]  # by part, key and hash
+        key = key[np.argsort(key % parts, kind="stable")]
+        h, df = h[order], df[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (key[1:] != key[:-1])]  # equal rows have the same key
+        key, df = key[new], df[new]
+        head = np.r_[True, key[1:] != key[:-1]]
+        rank = np.arange(len(key)) - np.flatnonzero(head)[np.cumsum(head) - 1]
+        several = df > 1
+        key, df, rank = key[several], df[several], rank[several].astype(np.uint32)
+        part = key % parts
+        named = np.unique(part)
+        out = []
+        for i, j in zip(np.searchsorted(part, named), np.searchsorted(part, named, "right"), strict=True):
+            who, at = np.unique(key[i:j], return_inverse=True)
+            out.append((j - i, who.tobytes(), pack(at.astype(np.uint32)), pack(rank[i:j]), pack(df[i:j])))
+        columns = [pa.array([x[m] for x in out], pa.int32() if m == 0 else pa.binary()) for m in range(5)]
+        given = pa.array([group.column("range")[0].as_py()] * len(out), pa.int32())
+        return pa.table([pa.array(named, pa.int32()), given, *columns], ["part", "range", "n", "keys", "at", "rank", "df"])
+
+    dealt = docs.select("key", "text").mapInArrow(spread, "range int, n int, h binary, at binary, keys binary")
+    return dealt.groupBy("range").applyInArrow(count, "part int, range int, n int, keys binary, at binary, rank binary, df binary")
+
 
-    return docs.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest binary, weight double, signature binary")
+def sign(docs: DataFrame, weights: Weights, k: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``doc_id, digest, text`` to ``doc_id, digest, weight, signature, df`` (null signature: no words; df: packed, by sorted shingle)."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    samples = bands * rows
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts, ranges = max(64, weights.n // 256), max(32, size // 32_000_000)
+    keyed = docs.select("doc_id", "digest", "text", F.xxhash64("doc_id", "digest").alias("key")).withColumn("part", F.pmod("key", F.lit(parts)).cast("int"))
+    counts = rare_counts(keyed, shared, parts, ranges, k)
+
+    def run(given: pa.Table, counted: pa.Table) -> pa.Table:
+        tables, weigh, out = _samples(), shared.value, []
+        key, held = given.column("key").to_numpy(), {c: [np.zeros(0, np.int64)] for c in ("key", "range", "rank", "df")}
+        for row in counted.to_pylist():
+            n = row["n"]
+            held["key"].append(np.frombuffer(row["keys"], np.int64)[unpack(row["at"], n, np.uint32)])
+            held["range"].append(np.full(n, row["range"]))
+            held["rank"].append(unpack(row["rank"], n, np.uint32).astype(np.int64))
+            held["df"].append(unpack(row["df"], n, np.uint32).astype(np.int64))
+        ckey, crange, crank, cdf = (np.concatenate(x) for x in held.values())
+        order = np.argsort(ckey, kind="stable")
+        ckey, crange, crank, cdf = ckey[order], crange[order], crank[order], cdf[order]
+        first, last = np.searchsorted(ckey, key), np.searchsorted(ckey, key, "right")
+        edges = _edges(ranges)
+        for i, j, h, doc, times in vectors(given.column("text"), k):
+            df, at = np.ones(len(h), np.uint32), np.searchsorted(doc, np.arange(j - i + 1))
+            hit, often = weigh.frequent(h)
+            for d in np.flatnonzero(last[i:j] > first[i:j]):
+                rare = np.flatnonzero(~hit[at[d] : at[d + 1]]) + at[d]
+                some = slice(first[i + d], last[i + d])
+                df[rare[np.searchsorted(h[rare], edges)[crange[some]] + crank[some]]] = cdf[some]
+            df[hit] = often
+            w = weigh(h, times, df)
+            s = signatures_of(h, doc, w, j - i, tables, samples)
+            total = np.bincount(doc, w, minlength=j - i) if len(h) else np.zeros(j - i)
+            raw = [x.tobytes() if t else None for x, t in zip(s, total, strict=True)]
+            packed = [pack(df[at[d] : at[d + 1]]) for d in range(j - i)]
+            out.append(pa.table({"doc_id": given.column("doc_id").slice(i, j - i), "digest": given.column("digest").slice(i, j - i), "weight": pa.array(total, pa.float64()), "signature": pa.array(raw, pa.binary()), "df": pa.array(packed, pa.binary())}))
+        none = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("weight", pa.float64()), ("signature", pa.binary()), ("df", pa.binary())])
+        return pa.concat_tables(out) if out else none.empty_table()
+
+    return keyed.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(run, "doc_id long, digest binary, weight double, signature binary, df binary")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -184,16 +306,18 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def verify(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float, k: int = 5) -> DataFrame:
-    """The pairs (a, b) of ids whose texts reach ``least``; ``texts``: one row per id (doc_id, text)."""
+    """The pairs (a, b) of ids whose texts reach ``least``; ``texts``: one row per id (doc_id, text, df)."""
     shared = pairs.sparkSession.sparkContext.broadcast(weights)
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"), F.col("df").alias("da"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"), F.col("df").alias("db"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", "da", "db")
 
-    def split(column) -> list[tuple[np.ndarray, np.ndarray]]:
+    def split(column, dfs) -> list[tuple[np.ndarray, np.ndarray]]:
         weigh, out = shared.value, []
         for i, j, h, doc, times in vectors(column, k):
-            w, at = weigh(h, times), np.searchsorted(doc, np.arange(j - i + 1))
+            at = np.searchsorted(doc, np.arange(j - i + 1))
+            df = [unpack(dfs[i + d].as_py(), int(at[d + 1] - at[d]), np.uint32) for d in range(j - i)]
+            w = weigh(h, times, np.concatenate(df))
             out += [(h[at[d] : at[d + 1]], w[at[d] : at[d + 1]]) for d in range(j - i)]
         return out
 
@@ -201,7 +325,7 @@ def verify(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float, k
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                ok = pa.array([weighted_jaccard(x, y) >= least for x, y in zip(split(part.column(2)), split(part.column(3)), strict=True)], pa.bool_())
+                ok = pa.array([weighted_jaccard(x, y) >= least for x, y in zip(split(part.column(2), part.column(4)), split(part.column(3), part.column(5)), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(ok)
 
     return joined.mapInArrow(run, "a long, b long")
@@ -257,11 +381,12 @@ def _across(samples: int, least_equal: int, least: float, k: int, weights, rows:
             return x
 
         texts, weigh, known, links = group.column("text"), weights.value, {}, []
+        dfs = group.column("df") if "df" in group.column_names else None
 
         def vector(i: int):
             if i not in known:
                 _, _, h, _, times = next(vectors(texts.slice(i, 1), k))
-                known[i] = h, weigh(h, times)
+                known[i] = h, weigh(h, times, None if dfs is None else unpack(dfs[i].as_py(), len(h), np.uint32))
             return known[i]
 
         for _, i, j in found[:, np.argsort(-found[0], kind="stable")].T.tolist():
@@ -281,8 +406,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weights = fit_weights(given, "text", k)
     signed = materialise(sign(given, weights, k, bands, rows), "near-signed")
     samples = bands * rows
-    one = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("digest", "signature", "weight")).alias("s")).select("doc_id", "s.*")
-    reps = one.where("signature is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature"), F.min("weight").alias("weight"))
+    one = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("digest", "signature", "weight", "df")).alias("s")).select("doc_id", "s.*")
+    reps = one.where("signature is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature"), F.min("weight").alias("weight"), F.min("df").alias("df"))
     reps = materialise(reps, "near-reps")
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring(F.col("signature"), i * 4 * rows + 1, F.lit(4 * rows))).alias("key")))
     member = reps.select("doc_id", F.explode(keys).alias("k")).select("doc_id", "k.band", "k.key")
@@ -290,7 +415,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = materialise(member.join(hubs, "key"), "near-buckets")
     pairs = buckets.where("doc_id > hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     wanted = buckets.select("doc_id").distinct()
-    texts = given.join(reps.select("doc_id", "digest").join(wanted, "doc_id"), ["doc_id", "digest"], "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
+    texts = given.join(reps.select("doc_id", "digest", "df").join(wanted, "doc_id"), ["doc_id", "digest"]).select("doc_id", "text", "df").dropDuplicates(["doc_id"])
     texts = materialise(texts, "near-texts")
     links = materialise(verify(pairs, texts, weights, least, k), "near-links")
     label = components(links)
@@ -301,7 +426,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = named.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     spread = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other"))
-    spread = spread.join(texts, "doc_id").select("band", "key", "lo", "hi", "blk", "doc_id", "comp", "weight", "signature", "text")
+    spread = spread.join(texts, "doc_id").select("band", "key", "lo", "hi", "blk", "doc_id", "comp", "weight", "signature", "text", "df")
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     more = spread.groupBy("key", "lo", "hi").applyInArrow(_across(samples, int(0.55 * samples), least, k, shared, rows), "a long, b long")
     links = links.unionByName(materialise(more, "near-more"))

@@ -1,6 +1,7 @@
 """Training-data operators against brute force, and on empty, null, repeated and clashing rows."""
 
 import base64
+import collections
 import hashlib
 import re
 import zlib
@@ -307,3 +308,44 @@ def test_lm_scores_against_counting(spark, frequent, monkeypatch):
     if frequent == 20:
         whole = {r.doc_id: r.score for r in lm_score.cross_entropy_difference(df, ids).collect()}
         assert whole[2] is None and whole[0] < whole[5]
+
+
+def test_near_duplicates_weigh_rare_shingles_exactly(spark):
+    """Over 1000 documents, where shingles of two or three documents must not share one weight; against brute force."""
+    import pyarrow as pa
+
+    rows, n = [(i, prose(5000 + i, 60)) for i in range(1500)], 1500
+    rng = np.random.default_rng(3)
+    for g in range(60):  # groups of 2 to 9 copies with one or two words changed, around the bar
+        base = prose(9000 + g, 60).split()
+        for _ in range(2 + g % 8):
+            words = list(base)
+            for at in rng.choice(60, int(rng.integers(1, 3)), replace=False):
+                words[at] = "w" + str(rng.integers(1 << 30))
+            rows.append((n, " ".join(words)))
+            n += 1
+    grams = [collections.Counter(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for _, t in rows]
+    held = collections.Counter(g for c in grams for g in c)
+    w = [{g: x * np.log1p(n / held[g]) for g, x in c.items()} for c in grams]
+    df = {}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.unhex(F.md5("text")))
+    signed = {r.doc_id: r for r in near_dup.sign(docs, near_dup.fit_weights(docs, "text")).collect()}
+    assert all(abs(signed[i].weight - sum(w[i].values())) < 1e-3 * signed[i].weight for i in range(n))
+    for i in range(1500, n):
+        h, _, times = next(near_dup.vectors(pa.array([rows[i][1]])))[2:]
+        df[i] = sorted(near_dup.unpack(signed[i].df, len(h), np.uint32).tolist())
+    assert all(df[i] == sorted(held[g] for g in grams[i]) for i in df)
+    similar = lambda a, b: (x := sum(min(v, w[b].get(g, 0)) for g, v in w[a].items())) / (sum(w[a].values()) + sum(w[b].values()) - x)
+    group = {}
+    for i in range(1500, n):
+        group[i] = i
+    for i in range(1500, n):
+        for j in range(1500, i):
+            if grams[i].keys() & grams[j].keys() and similar(i, j) >= 0.8:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = {k: new if v == old else v for k, v in group.items()}
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs.drop("digest")).collect()}
+    assert all(got[i] == i for i in range(1500))
+    for i in range(1500, n):  # never joined below the bar, and at most a few that sampling misses
+        assert group[i] == group[got[i]]
+    assert sum(got[i] != group[i] for i in group) <= 0.05 * len(group)
