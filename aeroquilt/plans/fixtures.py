@@ -20,7 +20,7 @@ VIEWS = {
         cast(floor(l_discount*2000.0e0) as int)%256 as r, cast(floor(l_tax*2000.0e0) as int)%256 as g, l_linenumber*30%256 as b,
         cast(l_suppkey%100 as int) as cam_id from {lineitem}""",
     "cells": "select cast(floor(y/2.5e0) as int) as row, cast(floor(x/1.25e0) as int) as col, max(z) as z from points where (l_orderkey%11)<>0 group by 1,2",
-    "sparse_cells": "select cast(user_id%97 as int) as row, cast(extract(hour from ts) as int) as col, max(value) as z from {events} where event_id%3=0 group by 1,2",
+    "sparse_cells": "select cast(user_id as int) as row, cast(extract(hour from ts) as int) as col, max(value) as z from {events} group by 1,2",
     "cameras": """select s_suppkey as cam_id, (s_suppkey%10)*8.0e0 as cx, floor(s_suppkey/10.0e0)*8.0e0 as cy, 60.0e0+(s_suppkey%3)*0.5e0 as cz,
         radians((s_suppkey%4)*90.0e0+s_suppkey%7) as yaw, 1150.0e0 as f, -0.04e0 as k1, 0.01e0 as k2, 0.0e0 as k3, 599.5e0 as ppx, 449.5e0 as ppy from {supplier}""",
     "world_points": "select p_partkey as pt_id, (p_partkey%100)*0.8e0 as x, floor(p_partkey/100.0e0)*4.0e0 as y, p_size*0.1e0 as z from {part}",
