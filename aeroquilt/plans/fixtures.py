@@ -31,7 +31,7 @@ VIEWS = {
         w as (select cam_id,pt_id, f*(1+r2*(k1+r2*(k2+r2*k3)))*nx+ppx as u, f*(1+r2*(k1+r2*(k2+r2*k3)))*ny+ppy as v from u)
         select cam_id, pt_id, round(u, 6) as u, round(v, 6) as v from w where u>=0 and u<1200 and v>=0 and v<900 and (cam_id*7+pt_id)%5=0""",
     "pairs": "select distinct least(o_custkey%60,o_orderkey%67) as i, greatest(o_custkey%60,o_orderkey%67) as j from {orders} where o_custkey%60<>o_orderkey%67 and o_orderkey%19=0",
-    "sparse_pairs": "select distinct least(o_custkey%601,o_orderkey%673) as i, greatest(o_custkey%601,o_orderkey%673) as j from {orders} where o_custkey%601<>o_orderkey%673 and o_orderkey%97=0",
+    "sparse_pairs": "select distinct least(o_custkey%601,o_orderkey%673) as i, greatest(o_custkey%601,o_orderkey%673) as j from {orders} where o_custkey%601<>o_orderkey%673",
     "pair_matches": """select cast(l_suppkey%20 as int) as i, cast((l_suppkey%20+1+l_linenumber%3)%20 as int) as j, l_orderkey*10+l_linenumber as k,
         (l_partkey%1200)*1.0e0 as xi, (l_orderkey%900)*1.0e0 as yi, 40.0e0+l_quantity*3 as ci, (40.0e0+l_quantity*3)*(1+0.01e0*(l_suppkey%5))+l_linenumber as cj
         from {lineitem} where l_orderkey%7=0""",
@@ -42,7 +42,7 @@ VIEWS = {
     "xmp_text": """select p_partkey as image_id, concat('<x drone-dji:RelativeAltitude="+',cast(p_size as string),'.5" drone-dji:GimbalPitchDegree="-90.0" drone-dji:RtkStdLat="0.0',
         cast(p_size%9+1 as string),'" drone-dji:ShutterType="',case when p_size%2=0 then 'Mechanical' else 'Electronic' end,'"/>') as head from {part}""",
     "gcp_errors": """select concat('G', cast(o_custkey%40 as string)) as name, (o_orderkey%11-5)*0.01e0 as dx, (o_orderkey%7-3)*0.02e0 as dy, (o_orderkey%13-6)*0.03e0 as dz,
-        1+o_orderkey%4 as marks from {orders} where o_orderkey%31=0""",
+        1+o_orderkey%4 as marks from {orders}""",
     "photo_samples": """select cast(l_suppkey%50 as int) as row, cast(l_partkey%60 as int) as col, cast(l_orderkey%8 as int) as photo, max(l_quantity*5) as value,
         max((l_linenumber%4+1)*0.2e0) as weight from {lineitem} group by 1,2,3""",
     "tiles": "select cast(ty.r_regionkey as int) as ty, cast(tx.n_nationkey as int) as tx, tx.n_nationkey*90.0e0 as x0, ty.r_regionkey*500.0e0 as y0, (tx.n_nationkey+1)*90.0e0 as x1, (ty.r_regionkey+1)*500.0e0 as y1 from {region} ty join {nation} tx on true",

@@ -32,3 +32,11 @@ def test_sparse_cells_are_those_of_the_document(spark, duck):
     want = rows(duck.sql(given).fetchall())
     assert rows(map(tuple, fixtures.view(spark, DATA, "sparse_cells").select("row", "col", "z").collect())) == want
     assert rows(duck.sql(f"with {fixtures.ctes('sparse_cells')} select row, col, z from sparse_cells").fetchall()) == want
+
+
+def test_pairs_and_marks_come_from_all_orders(spark, duck):
+    orders = duck.sql("select o_orderkey, o_custkey from orders").fetchall()
+    want = {tuple(sorted((c % 601, o % 673))) for o, c in orders if c % 601 != o % 673}
+    assert rows(map(tuple, fixtures.view(spark, DATA, "sparse_pairs").select("i", "j").collect())) == rows(want)
+    marks = fixtures.view(spark, DATA, "gcp_errors").select("name", "marks").collect()
+    assert rows(map(tuple, marks)) == rows((f"G{c % 40}", 1 + o % 4) for o, c in orders)
