@@ -246,14 +246,14 @@ def edge_aware_resample(spark, sf_dir):
     return R.resample_edges(df, r1 + 1, c1 + 1, 0.5, 36, 60, 0.25).select("row", "col", F.round("z", 5).alias("z"))
 
 
-@query(f"""with {ctes('cells', 'cameras')}, t as (select cam_id, row, col, (col+0.5e0)*1.25e0 x, (row+0.5e0)*1.25e0 y, z, cx, cy, cz-10 as cz from cells join (select * from cameras where cam_id <= 6) on true),
+@query(f"""with {ctes('cells', 'cameras')}, t as (select cam_id, row, col, (col+0.5e0)*1.25e0 x, (row+0.5e0)*1.25e0 y, z, cx, cy, cz-10 as cz from cells join cameras on true),
     s as (select t.*, k, k/12e0 as a from t cross join (select unnest(range(1, 12)) as k)),
     m as (select s.*, coalesce(c.z > s.z + a*(cz-s.z) + 0.5e0, false) as hid from s left join cells c on c.row = floor((y+a*(cy-y))/1.25e0) and c.col = floor((x+a*(cx-x))/1.25e0))
     select cam_id, row, col, not bool_or(hid) as visible from m group by 1, 2, 3""")
 def visibility(spark, sf_dir):
     surface = view(spark, sf_dir, "cells")
-    cams = view(spark, sf_dir, "cameras").where("cam_id <= 6").select("cam_id", "cx", "cy", (F.col("cz") - 10).alias("cz"))
-    targets = surface.crossJoin(F.broadcast(cams))  # at most six cameras
+    cams = view(spark, sf_dir, "cameras").select("cam_id", "cx", "cy", (F.col("cz") - 10).alias("cz"))
+    targets = cams.crossJoin(F.broadcast(surface))  # at most 20 x 40 cells, at every scale
     return T.visible(targets, surface, 12, 0.5, 1.25)
 
 

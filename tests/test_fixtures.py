@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from aeroquilt.plans import fixtures
+from aeroquilt.plans import catalogue, fixtures
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -40,3 +40,10 @@ def test_pairs_and_marks_come_from_all_orders(spark, duck):
     assert rows(map(tuple, fixtures.view(spark, DATA, "sparse_pairs").select("i", "j").collect())) == rows(want)
     marks = fixtures.view(spark, DATA, "gcp_errors").select("name", "marks").collect()
     assert rows(map(tuple, marks)) == rows((f"G{c % 40}", 1 + o % 4) for o, c in orders)
+
+
+def test_every_camera_looks_at_every_cell(spark, duck):
+    seen = catalogue.QUERIES["visibility"](spark, DATA)
+    count = lambda name: duck.sql(f"with {fixtures.ctes(name)} select count(*) from {name}").fetchall()[0][0]
+    assert seen.select("cam_id").distinct().count() == count("cameras") > 6
+    assert seen.count() == count("cameras") * count("cells")
