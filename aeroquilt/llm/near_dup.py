@@ -1,22 +1,27 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF word shingles.
 
-1.  Document frequencies.  A shingle is frequent if more than ``THETA`` of all documents hold it.  Every frequent shingle is frequent
-    in some chunk of documents, so chunks name candidates and a second pass counts the candidates everywhere: exact counts, and a
-    table bounded by (mean shingles per document) / THETA rows, which is broadcast.  All other shingles are dealt out by ranges of their
-    hash and counted there, exactly too; counts above one go back to the documents.  No weight is clipped or estimated.
-2.  Signatures.  Each document's weighted shingles give ``BANDS * ROWS`` consistent weighted samples.  Exact copies (by 128-bit digest of
+1.  Weights.  A shingle weighs its count in the document times log(1 + N / df), df being the exact number of documents that hold it.
+    Blocks of documents ask ranges of hashes how many documents hold each of their shingles (``blocks.exchange``), so a
+    shingle that a third of all documents hold costs one question for each block, and no list of frequent shingles is needed.
+2.  Signatures.  Each document's weighted shingles give ``bands * rows`` consistent weighted samples.  Exact copies (by 128-bit digest of
     the text) collapse to one representative.
-3.  Links.  In each band bucket all members are linked to the smallest one, and links are verified by exact weighted Jaccard similarity.
-    Buckets that then still hold several components are searched again, in blocks of bounded size: pairs across components that agree on
-    enough samples are verified, likeliest first, until no component can be joined.  No bucket emits all its pairs, and none is capped.
-4.  Classes are connected components by repeated hops to the smallest neighbour.
+3.  Links.  In each band bucket all members are linked to the one of the least digest, and links are verified by exact weighted Jaccard
+    similarity, in tasks of bounded size.  Buckets that then still hold several components are searched again, by signatures
+    alone and in blocks of bounded size: pairs across components that agree on enough samples are verified, likeliest first and in rounds, until none
+    is left that could join two components.  No bucket emits all its pairs, and none is capped.
+4.  Classes are connected components by alternating large-star and small-star steps.
+
+Pairs at the bar meet in a band with probability 0.99 or more (``banding``).  Two bounds skip pairs: total weights that differ by more than the bar
+cannot reach it, which is exact; and pairs across components must agree on all but four standard deviations of the samples expected at the bar.
 
 Defined cases: equal texts share a class, empty and null ones too; a document without words has no other near duplicates; one with fewer
-than five words has one shingle of all of them; an id with several texts goes by the one of the least digest; rows without an id are left out.
+than five words has one shingle of all of them; an id with several texts is several documents, each with its own row; equal rows count
+as documents in the frequencies and give one row; a null id comes after all others when a class is named.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,19 +29,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .blocks import exchange, pack, range_count, to_blocks, unpack, with_answers
+from .common import forget, join_unique, materialise, table
 from .textnum import buffers, chunks, distinct, mix, shingles, word_hashes
 
-THETA = 1e-3
-BANDS, ROWS = 10, 4
 SIMILAR = 0.8
-BLOCK = 1024
-HELD = 1 << 21  # shingles that a task sorts before it deals them out
+SAMPLES = 40
+BLOCK = 1024  # signatures compared with each other in one task, or twice as many with others
+LEADS = 512  # texts compared with one representative in one task
+TASK_PAIRS = 2000
+LAST_ID = (1 << 63) - 1
 _TABLE_BITS = 16
 
 
+def banding(least: float, samples: int = SAMPLES, recall: float = 0.99) -> tuple[int, int]:
+    """(bands, rows): the longest rows with which a pair of similarity ``least`` meets in a band with probability ``recall``."""
+    rows = 1
+    while samples // (rows + 1) and 1 - (1 - least ** (rows + 1)) ** (samples // (rows + 1)) >= recall:
+        rows += 1
+    return samples // rows, rows
+
+
 def _samples() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tables of r ~ Gamma(2, 1), log c with c ~ Gamma(2, 1), and beta ~ U(0, 1); a hash of shingle and sample number picks the entry."""
+    """Draws of r ~ Gamma(2, 1), log c with c ~ Gamma(2, 1), and beta ~ U(0, 1), each picked by 16 bits of its own."""
     rng = np.random.default_rng(20240229)
     n = 1 << _TABLE_BITS
     return rng.gamma(2, 1, n).astype(np.float32), np.log(rng.gamma(2, 1, n)).astype(np.float32), rng.random(n, np.float32)
@@ -50,111 +65,42 @@ def vectors(column, k: int = 5, most: int = 1 << 20) -> Iterator[tuple[int, int,
         yield i, j, *distinct(*shingles(words, at, k))
 
 
-class Weights:
-    """TF-IDF weight: times in the document, times log(1 + N / df); holds the document frequencies of the frequent shingles."""
-
-    def __init__(self, n: int, frequent: np.ndarray, df: np.ndarray):
-        order = np.argsort(frequent)
-        self.n, self.keys, self.df = n, frequent[order], df[order].astype(np.uint32)
-
-    def frequent(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which shingles are frequent, and the document frequencies of those."""
-        if not len(self.keys) or not len(h):
-            return np.zeros(len(h), bool), np.zeros(0, np.uint32)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        hit = self.keys[at] == h
-        return hit, self.df[at[hit]]
-
-    def __call__(self, h: np.ndarray, times: np.ndarray, df: np.ndarray | None = None) -> np.ndarray:
-        """``df``: document frequency of each shingle; without it, those that are not frequent count as held once."""
-        if df is None:
-            df = np.ones(len(h), np.uint32)
-            hit, df[hit] = self.frequent(h)
-        return np.log1p(self.n / df).astype(np.float32) * times.astype(np.float32)
-
-
-def pack(a: np.ndarray) -> bytes:
-    """Integers as compressed planes of their bytes: high bytes that are all alike take no room."""
-    return pa.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), "zstd", asbytes=True)
-
-
-def unpack(raw: bytes, n: int, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    planes = np.frombuffer(pa.decompress(raw, n * size, "zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).view(dtype).ravel()
-
-
-def pack_sorted(h: np.ndarray) -> bytes:
-    return pack(np.diff(h, prepend=np.uint64(0)))
-
-
-def unpack_sorted(raw: bytes, n: int) -> np.ndarray:
-    return np.cumsum(unpack(raw, n, np.uint64), dtype=np.uint64)
-
-
-def fit_weights(docs: DataFrame, text_col: str, k: int = 5, theta: float = THETA, chunk: int = 1 << 22) -> Weights:
-    """Exact document frequencies of the frequent shingles over all rows of ``docs``."""
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    n = docs.count()
-    share = max(theta, 1 / max(n, 1))
-
-    def candidates(batches):
-        held, size, rows, full = [], 0, 0, None
-
-        def tally(parts, n):
-            h, c = np.unique(np.concatenate(parts), return_counts=True)
-            return h, c, n
-
-        def named(h, c, n):
-            return pa.RecordBatch.from_arrays([pa.array(h[c > share * n].view(np.int64))], ["h"])
-
-        for batch in batches:
-            for i, j, h, _, _ in vectors(batch.column(0), k):
-                held.append(h)
-                size, rows = size + len(h), rows + j - i
-                if size >= chunk and rows * share >= 3:
-                    if full is not None:
-                        yield named(*full)
-                    full, held, size, rows = tally(held, rows), [], 0, 0
-        if held and full is not None:  # a short rest would name nearly everything in it: count it with the chunk before
-            h, c, n = tally(held, rows)
-            every = np.concatenate([full[0], h])
-            order = np.argsort(every, kind="stable")
-            every, times = every[order], np.concatenate([full[1], c])[order]
-            starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
-            full = every[starts], np.add.reduceat(times, starts), full[2] + n
-        elif held:
-            full = tally(held, rows)
-        if full is not None:
-            yield named(*full)
-
-    def tallies(batches):
-        for batch in batches:
-            for _, _, h, _, _ in vectors(batch.column(0), k):
-                h, c = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "n"])
-
-    if n * share < 3:  # few documents: nearly every shingle would be a candidate, so count them all where they are
-        counted = texts.mapInArrow(tallies, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > share * n).toArrow()
-        return Weights(n, counted.column("h").to_numpy().view(np.uint64), counted.column("n").to_numpy())
-    named = texts.mapInArrow(candidates, "h long").distinct()
-    keys = np.sort(named.toArrow().column(0).to_numpy().view(np.uint64)) if n else np.zeros(0, np.uint64)
-    if not len(keys):
-        return Weights(n, keys, np.zeros(0))
-    shared = texts.sparkSession.sparkContext.broadcast(keys)
-
-    def count(batches):
-        keys = shared.value
-        total = np.zeros(len(keys), np.int64)
-        for batch in batches:
-            for _, _, h, _, _ in vectors(batch.column(0), k):
-                if len(h):
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    total += np.bincount(at[keys[at] == h], minlength=len(keys))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[total > 0].view(np.int64)), pa.array(total[total > 0])], ["h", "n"])
-
-    counted = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > share * n).toArrow()
-    return Weights(n, counted.column("h").to_numpy().view(np.uint64), counted.column("n").to_numpy())
+def weigh(n: int, times: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """TF-IDF weight of shingles that ``df`` of ``n`` documents hold."""
+    return np.log1p(n / df).astype(np.float32) * times.astype(np.float32)
+
+
+def asker(k: int = 5):
+    """Shingles of a block with the number of its documents that hold each; with ``state``, its vectors and the place of their shingles too."""
+
+    def ask(rows: pa.Table, state: bool = False):
+        found = list(vectors(rows.column("text"), k))
+        every = np.concatenate([x[2] for x in found]) if found else np.zeros(0, np.uint64)
+        if not len(every):
+            return (every, (found, every, every)) if state else (every, [np.zeros(0, np.uint32)])
+        order = np.argsort(every) if state else None
+        ordered = every[order] if state else np.sort(every)
+        new = np.r_[True, ordered[1:] != ordered[:-1]]
+        first = np.flatnonzero(new)
+        held = np.diff(np.append(first, len(every))).astype(np.uint32)
+        if not state:
+            return ordered[first], [held]
+        place = np.empty(len(every), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return ordered[first], (found, held, place)
+
+    return ask
+
+
+def total_documents(h: np.ndarray, columns: list[np.ndarray], block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents that hold each shingle, told to the blocks whose own documents are not all of them."""
+    order = np.argsort(h)
+    ordered = h[order]
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    total = np.empty(len(h), np.uint32)
+    total[order] = np.repeat(np.add.reduceat(columns[0][order], first), np.diff(np.append(first, len(h))))
+    at = np.flatnonzero(total > columns[0])
+    return at, total[at]
 
 
 def signatures_of(h: np.ndarray, doc: np.ndarray, w: np.ndarray, size: int, tables, samples: int) -> np.ndarray:
@@ -163,135 +109,62 @@ def signatures_of(h: np.ndarray, doc: np.ndarray, w: np.ndarray, size: int, tabl
     out = np.zeros((size, samples), np.uint32)
     if not len(h):
         return out
+    low = np.uint64((1 << _TABLE_BITS) - 1)
     starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     have, place, log_w = doc[starts], np.arange(len(h), dtype=np.uint64), np.log(w)
     for s in range(samples):
-        odd = np.uint64((0x9E3779B97F4A7C15 * (2 * s + 1)) & 0xFFFFFFFFFFFFFFFF | 1)
-        at = (h * odd) >> np.uint64(64 - _TABLE_BITS)
-        r, beta = r_of[at], b_of[at]
+        seed = np.uint64((0x9E3779B97F4A7C15 * (2 * s + 1)) & 0xFFFFFFFFFFFFFFFF)
+        x = (h ^ seed) * np.uint64(0xD6E8FEB86659FD93)  # a hash of shingle and sample number, the same for every document
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xA0761D6478BD642F)
+        r, beta = r_of[x >> np.uint64(48)], b_of[x >> np.uint64(32) & low]
         t = np.floor(log_w / r + beta)
-        a = c_of[at] - r * (t - beta) - r  # log of the sample's value; the least one wins
+        a = c_of[x >> np.uint64(16) & low] - r * (t - beta) - r  # log of the sample's value; the least one wins
         bits = a.view(np.uint32)
         bits = np.where(bits >> 31, ~bits, bits | np.uint32(0x80000000)).astype(np.uint64)  # ordered as unsigned
         won = (np.minimum.reduceat((bits << np.uint64(32)) | place, starts) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        out[have, s] = (mix(h[won] ^ (t[won].astype(np.int64).view(np.uint64) * odd)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        out[have, s] = (mix(h[won] ^ (t[won].astype(np.int64).view(np.uint64) * (seed | np.uint64(1)))) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     return out
 
 
-def _edges(ranges: int) -> np.ndarray:
-    """First hash of each range."""
-    return np.array([-(-(r << 32) // ranges) for r in range(ranges)], np.uint64) << np.uint64(32)
-
+def sign(docs: DataFrame, k: int = 5, samples: int = SAMPLES) -> tuple[DataFrame, int]:
+    """``doc, digest, text`` to ``doc, digest, weight, signature, df``, and the number of rows.
 
-def rare_counts(docs: DataFrame, weights, parts: int, ranges: int, k: int = 5) -> DataFrame:
-    """Of ``key, text``: exact document frequencies above one of the shingles that are not frequent.
-
-    Each of the ``ranges`` of hashes is counted by itself; a shingle in it has at most THETA times the documents, so none is heavy.
-    A row holds one range's counts for one part, the keys of one remainder by ``parts``: ``at`` is the place of the document's key in
-    ``keys``, ``rank`` that of the shingle among the document's distinct shingles of the range that are not frequent.
+    The last three are null but in one row of each digest in a block, and there too without words; ``df`` is packed, by sorted shingle.
     """
-
-    def deal(hashes, docs_of, keys):
-        h, doc, keys = np.concatenate(hashes), np.concatenate(docs_of), np.concatenate(keys)
-        order = np.argsort(h)
-        h, doc = h[order], doc[order]
-        cut = np.append(np.searchsorted(h, _edges(ranges)), len(h))
-        for r in np.flatnonzero(np.diff(cut)):
-            some = slice(cut[r], cut[r + 1])
-            who, at = np.unique(doc[some], return_inverse=True)
-            raw = pack_sorted(h[some]), pack(at.astype(np.uint32)), keys[who].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([int(r)], pa.int32()), pa.array([len(at)], pa.int32()), *(pa.array([x], pa.binary()) for x in raw)], ["range", "n", "h", "at", "keys"])
-
-    def spread(batches):
-        hashes, docs_of, keys, size, rows = [], [], [], 0, 0
-        for batch in batches:
-            key = batch.column(0).to_numpy()
-            for i, j, h, doc, _ in vectors(batch.column(1), k):
-                rare = ~weights.value.frequent(h)[0]
-                hashes.append(h[rare])
-                docs_of.append(doc[rare] + rows)
-                keys.append(key[i:j])
-                size, rows = size + len(hashes[-1]), rows + j - i
-                if size >= HELD:
-                    yield from deal(hashes, docs_of, keys)
-                    hashes, docs_of, keys, size, rows = [], [], [], 0, 0
-        if size:
-            yield from deal(hashes, docs_of, keys)
-
-    def count(group: pa.Table) -> pa.Table:
-        n, packed = group.column("n").to_pylist(), zip(group.column("at").to_pylist(), group.column("keys").to_pylist(), strict=True)
-        h = np.concatenate([unpack_sorted(x, m) for x, m in zip(group.column("h").to_pylist(), n, strict=True)])
-        key = np.concatenate([np.frombuffer(keys, np.int64)[unpack(x, m, np.uint32)] for (x, keys), m in zip(packed, n, strict=True)])
-        order = np.argsort(h, kind="stable")
-        h, key = h[order], key[order]
-        times = np.diff(np.append(np.flatnonzero(np.r_[True, h[1:] != h[:-1]]), len(h)))
-        df = np.repeat(times, times).astype(np.uint32)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        order = order[np.argsort(key % parts, kind="stable")]  # by part, key and hash
-        key = key[np.argsort(key % parts, kind="stable")]
-        h, df = h[order], df[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (key[1:] != key[:-1])]  # equal rows have the same key
-        key, df = key[new], df[new]
-        head = np.r_[True, key[1:] != key[:-1]]
-        rank = np.arange(len(key)) - np.flatnonzero(head)[np.cumsum(head) - 1]
-        several = df > 1
-        key, df, rank = key[several], df[several], rank[several].astype(np.uint32)
-        part = key % parts
-        named = np.unique(part)
-        out = []
-        for i, j in zip(np.searchsorted(part, named), np.searchsorted(part, named, "right"), strict=True):
-            who, at = np.unique(key[i:j], return_inverse=True)
-            out.append((j - i, who.tobytes(), pack(at.astype(np.uint32)), pack(rank[i:j]), pack(df[i:j])))
-        columns = [pa.array([x[m] for x in out], pa.int32() if m == 0 else pa.binary()) for m in range(5)]
-        given = pa.array([group.column("range")[0].as_py()] * len(out), pa.int32())
-        return pa.table([pa.array(named, pa.int32()), given, *columns], ["part", "range", "n", "keys", "at", "rank", "df"])
-
-    dealt = docs.select("key", "text").mapInArrow(spread, "range int, n int, h binary, at binary, keys binary")
-    return dealt.groupBy("range").applyInArrow(count, "part int, range int, n int, keys binary, at binary, rank binary, df binary")
-
-
-def sign(docs: DataFrame, weights: Weights, k: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, digest, text`` to ``doc_id, digest, weight, signature, df`` (null signature: no words; df: packed, by sorted shingle)."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-    samples = bands * rows
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts, ranges = max(64, weights.n // 256), max(32, size // 32_000_000)
-    keyed = docs.select("doc_id", "digest", "text", F.xxhash64("doc_id", "digest").alias("key")).withColumn("part", F.pmod("key", F.lit(parts)).cast("int"))
-    counts = rare_counts(keyed, shared, parts, ranges, k)
-
-    def run(given: pa.Table, counted: pa.Table) -> pa.Table:
-        tables, weigh, out = _samples(), shared.value, []
-        key, held = given.column("key").to_numpy(), {c: [np.zeros(0, np.int64)] for c in ("key", "range", "rank", "df")}
-        for row in counted.to_pylist():
-            n = row["n"]
-            held["key"].append(np.frombuffer(row["keys"], np.int64)[unpack(row["at"], n, np.uint32)])
-            held["range"].append(np.full(n, row["range"]))
-            held["rank"].append(unpack(row["rank"], n, np.uint32).astype(np.int64))
-            held["df"].append(unpack(row["df"], n, np.uint32).astype(np.int64))
-        ckey, crange, crank, cdf = (np.concatenate(x) for x in held.values())
-        order = np.argsort(ckey, kind="stable")
-        ckey, crange, crank, cdf = ckey[order], crange[order], crank[order], cdf[order]
-        first, last = np.searchsorted(ckey, key), np.searchsorted(ckey, key, "right")
-        edges = _edges(ranges)
-        for i, j, h, doc, times in vectors(given.column("text"), k):
-            df, at = np.ones(len(h), np.uint32), np.searchsorted(doc, np.arange(j - i + 1))
-            hit, often = weigh.frequent(h)
-            for d in np.flatnonzero(last[i:j] > first[i:j]):
-                rare = np.flatnonzero(~hit[at[d] : at[d + 1]]) + at[d]
-                some = slice(first[i + d], last[i + d])
-                df[rare[np.searchsorted(h[rare], edges)[crange[some]] + crank[some]]] = cdf[some]
-            df[hit] = often
-            w = weigh(h, times, df)
-            s = signatures_of(h, doc, w, j - i, tables, samples)
+    blocks = to_blocks(docs.select("doc", "digest", "text"), "near-blocks")
+    n, ranges, ask = blocks.agg(F.sum("n")).first()[0] or 0, range_count(blocks), asker(k)
+    answered = exchange(blocks, lambda rows: ask(rows), [np.uint32], total_documents, np.uint32, ranges, "near-counts")
+
+    def use(rows: pa.Table, state, at: np.ndarray, values: np.ndarray) -> pa.Table:
+        tables, (found, df, place), out, done, digests = _samples(), state, [], 0, rows.column("digest").to_pylist()
+        first, df = {}, df.copy()
+        for i, d in enumerate(digests):
+            first.setdefault(d, i)
+        once = np.zeros(len(digests), bool)
+        once[list(first.values())] = True
+        df[at] = values
+        for i, j, h, doc, times in found:
+            own = df[place[done : done + len(h)]]
+            done += len(h)
+            some = once[i:j][doc] if len(h) else np.zeros(0, bool)
+            h, doc, times, own = h[some], doc[some], times[some], own[some]
+            w = weigh(n, times, own)
             total = np.bincount(doc, w, minlength=j - i) if len(h) else np.zeros(j - i)
-            raw = [x.tobytes() if t else None for x, t in zip(s, total, strict=True)]
-            packed = [pack(df[at[d] : at[d + 1]]) for d in range(j - i)]
-            out.append(pa.table({"doc_id": given.column("doc_id").slice(i, j - i), "digest": given.column("digest").slice(i, j - i), "weight": pa.array(total, pa.float64()), "signature": pa.array(raw, pa.binary()), "df": pa.array(packed, pa.binary())}))
-        none = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("weight", pa.float64()), ("signature", pa.binary()), ("df", pa.binary())])
-        return pa.concat_tables(out) if out else none.empty_table()
+            s = signatures_of(h, doc, w, j - i, tables, samples)
+            cut = np.searchsorted(doc, np.arange(j - i + 1))
+            have = (total > 0).tolist()
+            out.append(pa.table({
+                "doc": rows.column("doc").slice(i, j - i), "digest": rows.column("digest").slice(i, j - i), "weight": pa.array([t if y else None for t, y in zip(total.tolist(), have, strict=True)], pa.float64()),
+                "signature": pa.array([x.tobytes() if y else None for x, y in zip(s, have, strict=True)], pa.binary()),
+                "df": pa.array([pack(own[cut[d] : cut[d + 1]]) if y else None for d, y in enumerate(have)], pa.binary()),
+            }))
+        return pa.concat_tables(out)
 
-    return keyed.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(run, "doc_id long, digest binary, weight double, signature binary, df binary")
+    signed = with_answers(blocks, answered, ask, use, np.uint32, ranges, "doc long, digest binary, weight double, signature binary, df binary")
+    signed = materialise(signed, "near-signed")
+    forget(blocks, answered)
+    return signed, n
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -305,137 +178,165 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return both / (total - both)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float, k: int = 5) -> DataFrame:
-    """The pairs (a, b) of ids whose texts reach ``least``; ``texts``: one row per id (doc_id, text, df)."""
-    shared = pairs.sparkSession.sparkContext.broadcast(weights)
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"), F.col("df").alias("da"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"), F.col("df").alias("db"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", "da", "db")
-
-    def split(column, dfs) -> list[tuple[np.ndarray, np.ndarray]]:
-        weigh, out = shared.value, []
-        for i, j, h, doc, times in vectors(column, k):
-            at = np.searchsorted(doc, np.arange(j - i + 1))
-            df = [unpack(dfs[i + d].as_py(), int(at[d + 1] - at[d]), np.uint32) for d in range(j - i)]
-            w = weigh(h, times, np.concatenate(df))
-            out += [(h[at[d] : at[d + 1]], w[at[d] : at[d + 1]]) for d in range(j - i)]
-        return out
+def verify(pairs: DataFrame, texts: DataFrame, n: int, least: float, k: int = 5, leads: int = LEADS) -> DataFrame:
+    """The distinct pairs (a, b) of digests whose texts reach ``least``; ``texts``: one row per digest (digest, text, df).
 
-    def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                ok = pa.array([weighted_jaccard(x, y) >= least for x, y in zip(split(part.column(2), part.column(4)), split(part.column(3), part.column(5)), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(ok)
+    A representative ``a`` goes with at most ``leads`` of its partners at a time, so its text is repeated once for each so many.
+    """
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(leads)).cast("int").alias("shares"), F.count("*").alias("n"))
+    members = join_unique(pairs, shares, "a", "n", ["b"]).select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), F.col("b").alias("digest"), F.lit(False).alias("lead"))
+    heads = shares.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("a").alias("digest"), F.lit(True).alias("lead"))
+    rows = materialise(members.unionByName(heads), "near-compared")
+    parts = max(1, rows.count() // TASK_PAIRS)
+    given = join_unique(rows, texts.join(rows.groupBy("digest").agg(F.count("*").alias("n")), "digest"), "digest", "n", ["a", "share"], "inner")
+    given = given.withColumn("part", F.pmod(F.xxhash64("a", "share"), F.lit(parts)).cast("int")).select("part", "a", "share", "lead", "digest", "text", "df")
 
-    return joined.mapInArrow(run, "a long, b long")
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("a", "ascending"), ("share", "ascending"), ("lead", "descending")]).combine_chunks()
+        a, b, lead, dfs = (group.column(c).to_pylist() for c in ("a", "digest", "lead", "df"))
+        head, found = None, []
+        for i, j, h, doc, times in vectors(group.column("text"), k):
+            cut = np.searchsorted(doc, np.arange(j - i + 1)).tolist()
+            for r in range(i, j):
+                own = slice(cut[r - i], cut[r - i + 1])
+                v = h[own], weigh(n, times[own], unpack(dfs[r], own.stop - own.start, np.uint32))
+                if lead[r]:
+                    head = v
+                elif weighted_jaccard(head, v) >= least:
+                    found.append(r)
+        return pa.table({"a": pa.array([a[r] for r in found], pa.binary()), "b": pa.array([b[r] for r in found], pa.binary())})
+
+    return given.groupBy("part").applyInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame, name: str = "near-components") -> DataFrame:
-    """(doc_id, class_id) of every id in a link: the least id it is connected to, by alternating large-star and small-star steps."""
+    """(node, class) of every linked node but the least of its component: that least one, by alternating large-star and small-star steps.
+
+    A node with many links is joined to them in several tasks.
+    """
+
     def stamp(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum("v")).first())
+        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     before = stamp(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # larger neighbours go to the least
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
-        after = stamp(edges)
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        large = join_unique(both, low, "u", "n", ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # larger neighbours go to the least
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_unique(large, low, "u", "n", ["v"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        after = stamp(new)
+        forget(edges)
+        edges = new
         if after == before:
-            return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("class_id"))
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("class"))
         before = after
 
 
-def _across(samples: int, least_equal: int, least: float, k: int, weights, rows: int = ROWS):
-    """Verified links that join the components of a bucket's block pair: likeliest pairs first, each component merged once.
+def expected_agreement(least: float, samples: int) -> int:
+    """Samples on which a pair at the bar agrees, less four standard deviations."""
+    return max(1, math.floor(samples * least - 4 * math.sqrt(samples * least * (1 - least))))
+
 
-    A pair that shares several buckets is looked at in the one of its first common band.
+def _likely(bands: int, rows: int, least: float, per_row: int):
+    """Pairs of a bucket's blocks, across components, that may reach the bar: likeliest first, from the group's ``start`` on.
+
+    ``at`` counts the pairs in that order; a group that has more to give than ``per_row`` times its rows says so in its last row.  A pair that shares
+    several buckets is looked at in the one of its first common band.
     """
+    samples = bands * rows
+    enough = expected_agreement(least, samples)
 
     def run(group: pa.Table) -> pa.Table:
-        ids, weight, side = (group.column(c).to_numpy() for c in ("doc_id", "weight", "blk"))
-        _, comp = np.unique(group.column("comp").to_numpy(), return_inverse=True)
+        group = group.sort_by("digest")
+        ids, weight, side = group.column("digest").to_pylist(), group.column("weight").to_numpy(), group.column("blk").to_numpy()
+        _, comp = np.unique(np.array([x.ljust(17, b".") for x in group.column("class").to_pylist()]), return_inverse=True)
         s = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(len(ids), samples)
-        low, high, band = (group.column(c)[0].as_py() for c in ("lo", "hi", "band"))
-        left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
-        found = []
-        for i in left:
-            other = right[(comp[right] != comp[i]) & (np.minimum(weight[right], weight[i]) >= 0.7 * np.maximum(weight[right], weight[i]))]
-            other = other[other > i] if low == high else other
+        key, low, high, band, start = (group.column(c)[0].as_py() for c in ("key", "lo", "hi", "band", "start"))
+        right, found = np.flatnonzero(side == high), []
+        for i in np.flatnonzero(side == low):
+            other = right[right > i] if low == high else right
+            other = other[np.minimum(weight[other], weight[i]) >= least * np.maximum(weight[other], weight[i])]
             equal = (s[other] == s[i]).sum(axis=1)
             before = (s[other, : band * rows] == s[i, : band * rows]).reshape(len(other), band, rows).all(axis=2).any(axis=1)
-            hit = (equal >= least_equal) & ~before
+            hit = (equal >= enough) & ~before
             found.append(np.stack([equal[hit], np.full(int(hit.sum()), i), other[hit]]))
         found = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-        root = list(range(int(comp.max()) + 1 if len(comp) else 0))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        texts, weigh, known, links = group.column("text"), weights.value, {}, []
-        dfs = group.column("df") if "df" in group.column_names else None
-
-        def vector(i: int):
-            if i not in known:
-                _, _, h, _, times = next(vectors(texts.slice(i, 1), k))
-                known[i] = h, weigh(h, times, None if dfs is None else unpack(dfs[i].as_py(), len(h), np.uint32))
-            return known[i]
-
-        for _, i, j in found[:, np.argsort(-found[0], kind="stable")].T.tolist():
-            a, b = find(int(comp[i])), find(int(comp[j]))
-            if a != b and weighted_jaccard(vector(i), vector(j)) >= least:
-                root[max(a, b)] = min(a, b)
-                links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+        found = found[:, np.lexsort((found[2], found[1], -found[0]))][:, start:]
+        open_yet = np.flatnonzero(comp[found[1]] != comp[found[2]])
+        more = len(open_yet) > per_row * len(ids)
+        open_yet = open_yet[: per_row * len(ids)]
+        a, b = ([ids[x] for x in found[i][open_yet].tolist()] for i in (1, 2))
+        end = [False] * len(a)
+        if more:
+            end[-1] = True
+        columns = {"key": [key] * len(a), "lo": [low] * len(a), "hi": [high] * len(a), "at": (open_yet + start).tolist(), "a": a, "b": b, "more": end}
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.bool_())
+        return pa.table([pa.array(v, t) for v, t in zip(columns.values(), kinds, strict=True)], names=list(columns))
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR, k: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id, copy_of): class and exact-copy representative of every distinct id; ids are integers."""
+def _members(buckets: DataFrame, label: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components: one for each pair of blocks that a member belongs to."""
+    named = buckets.join(label, buckets["digest"] == label["node"], "left").withColumn("class", F.coalesce("class", "digest")).drop("node")
+    split = named.groupBy("key").agg(F.count("*").alias("size"), F.count("*").alias("n"), F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1 and size > 2").select("key", "size", "n")
+    named = join_unique(named, split, "key", "n", ["digest"], "inner").join(reps.select("digest", "weight", "signature"), "digest")
+    named = named.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    spread = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.select("key", "band", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "digest", "class", "weight", "signature")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR, k: int = 5, samples: int = SAMPLES) -> DataFrame:
+    """(doc_id, digest, class_id, copy_of, stays) of every distinct id and text; ids are integers.
+
+    ``class_id`` is the least id of the class, ``copy_of`` that of the documents with the same text; ``stays`` marks the
+    one row of each class that has the least id, and of several such the least digest.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
-    weights = fit_weights(given, "text", k)
-    signed = materialise(sign(given, weights, k, bands, rows), "near-signed")
-    samples = bands * rows
-    one = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("digest", "signature", "weight", "df")).alias("s")).select("doc_id", "s.*")
-    reps = one.where("signature is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature"), F.min("weight").alias("weight"), F.min("df").alias("df"))
+    given = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
+    bands, rows = banding(least, samples)
+    signed, n = sign(given, k, bands * rows)
+    one = signed.select("doc", "digest").distinct()
+    reps = signed.groupBy("digest").agg(F.min("doc").alias("doc"), F.max(F.struct("signature", "weight", "df")).alias("s")).select("digest", "doc", "s.*").where("signature is not null")
     reps = materialise(reps, "near-reps")
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring(F.col("signature"), i * 4 * rows + 1, F.lit(4 * rows))).alias("key")))
-    member = reps.select("doc_id", F.explode(keys).alias("k")).select("doc_id", "k.band", "k.key")
-    hubs = member.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("key", "hub")
-    buckets = materialise(member.join(hubs, "key"), "near-buckets")
-    pairs = buckets.where("doc_id > hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    wanted = buckets.select("doc_id").distinct()
-    texts = given.join(reps.select("doc_id", "digest", "df").join(wanted, "doc_id"), ["doc_id", "digest"]).select("doc_id", "text", "df").dropDuplicates(["doc_id"])
-    texts = materialise(texts, "near-texts")
-    links = materialise(verify(pairs, texts, weights, least, k), "near-links")
-    label = components(links)
-    # Buckets with several components left: look across them.
-    named = buckets.join(label, "doc_id", "left").withColumn("comp", F.coalesce("class_id", "doc_id")).select("band", "key", "doc_id", "comp")
-    split = named.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("doc_id").alias("hub")).where("c0 < c1 and size > 2")
-    named = named.join(split.select("key", "size"), "key").join(reps.select("doc_id", "weight", "signature"), "doc_id")
-    named = named.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    spread = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other"))
-    spread = spread.join(texts, "doc_id").select("band", "key", "lo", "hi", "blk", "doc_id", "comp", "weight", "signature", "text", "df")
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-    more = spread.groupBy("key", "lo", "hi").applyInArrow(_across(samples, int(0.55 * samples), least, k, shared, rows), "a long, b long")
-    links = links.unionByName(materialise(more, "near-more"))
-    label = components(links).withColumnRenamed("doc_id", "rep")
-    copies = one.select("doc_id", "digest")
-    first = copies.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    out = copies.join(first, "digest").join(label, "rep", "left")
-    return out.select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_of"))
+    member = reps.select("digest", "weight", F.explode(keys).alias("k")).select("digest", "weight", "k.band", "k.key")
+    hubs = member.groupBy("key").agg(F.min(F.struct("digest", "weight")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    buckets = materialise(join_unique(member, hubs.select("key", F.col("hub.digest").alias("hub"), F.col("hub.weight").alias("hub_weight"), "n"), "key", "n", ["digest"], "inner"), "near-buckets")
+    close = F.least("weight", "hub_weight") >= F.lit(least) * F.greatest("weight", "hub_weight")
+    pairs = buckets.where((F.col("digest") > F.col("hub")) & close).select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct()
+    pairs = materialise(pairs, "near-pairs")
+    wanted = reps.join(buckets.select("digest").distinct(), "digest").select("digest", "doc", "df")
+    texts = materialise(given.join(wanted, ["doc", "digest"]).select("digest", "text", "df").dropDuplicates(["digest"]), "near-texts")
+    links = materialise(verify(pairs, texts, n, least, k), "near-links")
+    buckets, label, starts, per_row = buckets.select("key", "band", "digest"), components(links), None, 4
+    while True:  # buckets with several components left: look across them
+        across = _members(buckets, label, reps)
+        across = across.withColumn("start", F.lit(0).cast("long")) if starts is None else across.join(starts, ["key", "lo", "hi"])
+        found = materialise(across.groupBy("key", "lo", "hi").applyInArrow(_likely(bands, rows, least, per_row), "key long, lo int, hi int, at long, a binary, b binary, more boolean"), "near-likely")
+        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        fresh = materialise(verify(pairs, texts, n, least, k), "near-more")
+        more = fresh.limit(1).count()
+        if more:
+            links = links.unionByName(fresh)
+            label = components(links)
+        starts = found.where("more").select("key", "lo", "hi", (F.col("at") + 1).alias("start"))
+        if not starts.limit(1).count():
+            break
+        per_row *= 2
+    first = one.groupBy("digest").agg(F.min("doc").alias("copy_of"), F.count("*").alias("n"))
+    named = first.join(label, first["digest"] == label["node"], "left").withColumn("class", F.coalesce("class", "digest")).drop("node")
+    named = materialise(named, "near-named")
+    heads = named.groupBy("class").agg(F.min(F.struct("copy_of", "digest")).alias("head"), F.count("*").alias("size"))
+    named = materialise(join_unique(named, heads, "class", "size", ["digest"], "inner"), "near-classes")
+    out = join_unique(one, named.select("digest", "copy_of", "n", "head"), "digest", "n", ["doc"], "inner")
+    known = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
+    stays = (F.col("doc") == F.col("head.copy_of")) & (F.col("digest") == F.col("head.digest"))
+    return out.select(known("doc").alias("doc_id"), "digest", known("head.copy_of").alias("class_id"), known("copy_of").alias("copy_of"), stays.alias("stays"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of")
