@@ -1,11 +1,9 @@
 """Token sequences packed by bounded-space best fit.
 
 Texts never leave the task that reads them: each becomes rows of (document, piece, length, checksum), and only these are shuffled.
-Rows are dealt to shards by hash, a shard fills a fixed number of open bins, and the bins still open at its end go to a next level
-of far fewer shards, until one shard is left: no task sees more than a shard, and no bin stays half empty because its shard ended.
-
-Tokenising caches ids by white-space-free chunk, which is exact because the tokenizer never joins across white space; misses go to
-the tokenizers library, plain letter words many at a time (their last id carries the word-end mark).
+Rows are dealt to shards by hash.  A shard fills a fixed number of open bins; the bins still open at its end go to a next level of fewer shards, until
+one shard is left.  A shard holds ``SHARD_FILLS`` times the tokens that its open bins can, so each level passes on at most that part of
+its tokens, whatever their lengths: levels end, no task sees more than a shard, and no bin stays half empty because its shard ended.
 
 Defined cases: a null or empty text is the end id alone; rows of one id are packed one by one; a document longer than a sequence is
 cut into full pieces and a last one, and every full piece is a sequence of its own.
@@ -23,89 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
-from .textnum import buffers
+from .textnum import buffers, chunks
+from .wordpieces import Encoder
 
 CAPACITY = 4096
 OPEN_BINS = 64
-SHARD_ROWS = 20_000
-CACHED = 500_000
+SHARD_FILLS = 16
 _encoders: dict = {}
 
 
-class Encoder:
-    """Ids of a text as little-endian 32-bit integers, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
-
-    def __init__(self, path: str):
-        import json
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
-        with open(path, encoding="utf-8") as f:
-            self.special = [t["content"].encode() for t in json.load(f)["added_tokens"]]
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, chunks: set[bytes]) -> None:
-        """Put the ids of new chunks into the cache."""
-        cache = self.cache
-        if len(cache) + len(chunks) > CACHED:
-            cache.clear()
-        words, odd, split = set(), [], []
-        for c in chunks:
-            stem = c.rstrip(b".,;:!?")
-            if stem.isalpha():  # ASCII letters only: \p{L}+, then a run of marks
-                if len(stem) < len(c):
-                    split.append((c, stem, c[len(stem) :]))
-                    if c[len(stem) :] not in cache:
-                        odd.append(c[len(stem) :])
-                if stem not in cache:
-                    words.add(stem)
-            elif c not in cache:
-                odd.append(c)
-        words = list(words)
-        for i in range(0, len(words), 500):
-            some = words[i : i + 500]
-            ids = np.asarray(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
-            stop = np.flatnonzero(self.ends[ids]) + 1
-            if len(stop) == len(some):
-                raw, at = ids.tobytes(), 0
-                for w, s in zip(some, (4 * stop).tolist(), strict=True):
-                    cache[w] = raw[at:s]
-                    at = s
-            else:
-                odd += some
-        odd = list(set(odd))
-        for i in range(0, len(odd), 1000):
-            some = odd[i : i + 1000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in some], add_special_tokens=False), strict=True):
-                cache[c] = np.asarray(e.ids, "<u4").tobytes()
-        for c, stem, marks in split:
-            cache[c] = cache[stem] + cache[marks]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        parts = []
-        for t in texts:
-            if any(s in t for s in self.special):
-                parts.append(None)  # a special token's string may be cut out of a chunk
-            else:
-                parts.append((t if b"\xcc" in t or b"\xcd" in t else t.lower()).split())  # no combining marks: ASCII case folds alone
-        known = self.cache
-        new = set().union(*[p for p in parts if p])
-        if new := {c for c in new if c not in known}:
-            if len(known) + 2 * len(new) > CACHED:
-                known.clear()
-                new = set().union(*[p for p in parts if p])
-            self.learn(new)
-        return [self.whole(t.decode("utf-8", "replace")) if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, parts, strict=True)]
-
-
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
@@ -117,23 +41,20 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, en
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        enc, tail = encoder(tokenizer), np.asarray([end_id], "<u4")
         for batch in batches:
             names, (data, off) = batch.column(0).to_pylist(), buffers(batch.column(1))
-            data, i = data.tobytes(), 0
-            while i < len(names):
-                j = i + 1
-                while j < len(names) and j - i < 512 and off[j + 1] - off[i] < 1 << 21:
-                    j += 1
-                out = ([], [], [], [], [])
-                for name, ids in zip(names[i:j], enc.encode([data[off[k] : off[k + 1]] for k in range(i, j)]), strict=True):
-                    ids += tail
-                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        for column, value in zip(out, (name, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+            for i, j in chunks(off):
+                ids, at = enc.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                ids = np.insert(ids.astype("<u4"), at[1:], tail)  # the end id after each document
+                at = at + np.arange(len(at))
+                raw, out = memoryview(ids).cast("B"), ([], [], [], [], [])
+                for name, a, b in zip(names[i:j], at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    for piece, start in enumerate(range(a, b, capacity)):
+                        stop = min(b, start + capacity)
+                        for column, value in zip(out, (name, piece, start - a, stop - start, zlib.crc32(raw[4 * start : 4 * stop])), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
-                i = j
 
     given = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     return given.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -181,18 +102,21 @@ def _shard_packer(given: list[str], capacity: int, open_bins: int, level: int, l
     def run(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
         group = group.sort_by([("order", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        bins = BestFit(capacity, open_bins)
-        at = [bins.place(x) for x in group.column("length").to_pylist()]
-        open_yet = set() if last else bins.unfinished()
-        base = (level << 56) | (shard << 32)
-        ids = [None if b in open_yet else base + b for b, _ in at]
-        offset = [None if b in open_yet else o for b, o in at]
-        return group.select(given).append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+        bins, n = BestFit(capacity, open_bins), group.num_rows
+        bin_of, offset, place = np.empty(n, np.int64), np.empty(n, np.int64), bins.place
+        for i, x in enumerate(group.column("length").to_numpy()):
+            bin_of[i], offset[i] = place(int(x))
+        open_yet = np.zeros(bins.made, bool)
+        if not last:
+            open_yet[list(bins.unfinished())] = True
+        gone = open_yet[bin_of] if n else np.zeros(0, bool)
+        ids = pa.array(((level << 56) | (shard << 32)) + bin_of, pa.int64(), mask=gone)
+        return group.select(given).append_column("sequence_id", ids).append_column("offset", pa.array(offset, pa.int64(), mask=gone))
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, shard_fills: int = SHARD_FILLS) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``."""
     pieces = materialise(pieces, "pieces")
     given = pieces.columns
@@ -200,9 +124,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     full = pieces.where(F.col("length") >= capacity)
     full = full.withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(1 << 62)).withColumn("offset", F.lit(0).cast("long"))
     rest, done, level = pieces.where(F.col("length") < capacity), [full], 0
-    n = rest.count()
     while True:
-        shards = max(1, -(-n // shard_rows))
+        tokens = rest.agg(F.sum("length")).first()[0] or 0
+        shards = max(1, tokens // (max(2, shard_fills) * open_bins * capacity))  # passes on 1 / shard_fills of its tokens at most
         dealt = rest.withColumn("order", key).withColumn("shard", F.pmod(F.xxhash64("order", F.lit(level)), F.lit(shards)).cast("int"))
         packed = dealt.groupBy("shard").applyInArrow(_shard_packer(given, capacity, open_bins, level, shards == 1), _PACKED)
         if shards == 1:
@@ -211,7 +135,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
         packed = materialise(packed, "packed")
         done.append(packed.where(F.col("sequence_id").isNotNull()))
         rest, level = packed.where(F.col("sequence_id").isNull()).select(given), level + 1
-        n = rest.count()
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
