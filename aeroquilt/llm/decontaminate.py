@@ -1,16 +1,20 @@
 """Benchmark decontamination by the q-gram lemma.
 
-The benchmark is the query set; documents never move.  Each item is cut into overlapping regions of at most ``REGION`` characters.  A
-document's hashed character q-grams are looked up in the sorted q-grams of the regions; every hit has a diagonal (document minus item
-position), and hits are counted in overlapping diagonal bands of width 2 * budget.  A region of m characters within e edits shares at
-least m + 1 - q * (e + 1) q-grams with its text, and those lie on diagonals at most e from its own: bands that reach the bound are kept and verified
-by banded alignment (edit distance of the region to a substring of the document).
+The benchmark is the query set; documents never move.  Items are covered by regions of at most ``REGION`` characters that begin every ``STRIDE``.  A
+document's hashed character q-grams are looked up among the items'; every hit has a diagonal (document minus item position), and
+hits at distinct places of a region are counted in overlapping diagonal bands of width 2 * budget.  A region of m characters within e edits shares at
+least m + 1 - q * (e + 1) q-grams with its text, on diagonals that differ by at most e: bands that reach the bound are kept and verified
+by banded alignment (edit distance of the region to a substring of the document), many at a time.
+
+So an item is found in a document if any stretch of REGION + STRIDE - 1 of its characters (91, some 15 words) is there as it is, wherever it begins, or if
+one of its regions is there with at most a tenth of its characters edited.  Shorter items are one region; those under ``SHORTEST`` characters must be
+there word for word.
 
 Both sides are normalised: lower case, letters and digits only, other runs a single space.  Items are read in blocks of a bounded size, so a
 large benchmark makes more passes, not a larger broadcast.
 
-Defined cases: null or empty texts match nothing; an item shorter than ``SHORTEST`` characters is not searched, since it would flag common
-phrases; repeated items are all reported; rows of one document id are searched one by one and reported once.
+Defined cases: null or empty texts match nothing; an item shorter than a q-gram is not searched; repeated items are all reported; rows of one document id are
+searched one by one and reported once, with the regions of all and the least edits of any.
 """
 
 from __future__ import annotations
@@ -26,10 +30,11 @@ from .common import table
 from .textnum import buffers, chunks, mix
 
 Q = 8
-REGION = 120
+REGION = 80
+STRIDE = 12
 SHORTEST = 40
 RATE = 0.1
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 4_000_000
 _codes: dict = {}
 
 
@@ -59,12 +64,12 @@ def normalise(text: str | None) -> str:
     return text_of(collapse(codes_of(text or ""))[0]).strip(" ")
 
 
-def regions(length: int, size: int = REGION) -> list[tuple[int, int]]:
-    """Ranges of at most ``size`` characters that overlap by half and cover an item."""
+def regions(length: int, size: int = REGION, stride: int = STRIDE) -> list[tuple[int, int]]:
+    """Ranges of at most ``size`` characters that begin every ``stride``, and one at the end."""
     if length <= size:
         return [(0, length)]
-    n = -(-(length - size) // (size // 2)) + 1
-    return [(round(i * (length - size) / (n - 1)), round(i * (length - size) / (n - 1)) + size) for i in range(n)]
+    starts = list(range(0, length - size, stride))
+    return [(a, a + size) for a in [*starts, length - size]]
 
 
 def qgrams(codes: np.ndarray, q: int = Q) -> np.ndarray:
@@ -86,72 +91,66 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def banded_distance(region: str, text: str, budget: int) -> int:
-    """Edit distance of ``region`` to the nearest substring of ``text`` whose start is free within it; over ``budget`` means more than it.
+def banded_distances(patterns: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Edit distance of each pattern (a row of m code points) to the nearest substring of its text (a row of m + lanes - 1) on diagonals 0 to lanes - 1."""
+    n, m = patterns.shape
+    lanes = texts.shape[1] - m + 1
+    ramp, row = np.arange(lanes, dtype=np.int16), np.zeros((n, lanes), np.int16)
+    for i in range(m):
+        new = row + (texts[:, i : i + lanes] != patterns[:, i : i + 1])
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+        row = np.minimum.accumulate(new - ramp, axis=1) + ramp  # gaps along the text
+    return row.min(axis=1)
+
 
-    ``text`` is the band's stretch of the document, so diagonals are bounded by its length; a row keeps only those.
-    """
-    if region in text:
-        return 0
+def banded_distance(region: str, text: str, budget: int) -> int:
+    """Edit distance of ``region`` to the nearest substring of ``text``, if it is within ``budget``, else more than it."""
     m, n = len(region), len(text)
-    width = n - m  # the band: diagonals 0 .. width
-    if width < 0:
-        text = text + "\0" * -width
-        n, width = len(text), 0
-    pattern, target = codes_of(region), codes_of(text)
-    spread = width + budget
-    lanes = np.arange(-budget, spread + 1)
-    row = np.where((lanes >= 0) & (lanes <= n), 0, budget + 1)
-    ramp = np.arange(len(lanes))
-    for i in range(1, m + 1):
-        j = lanes + i
-        inside = (j >= 1) & (j <= n)
-        same = np.zeros(len(lanes), bool)
-        same[inside] = target[j[inside] - 1] == pattern[i - 1]
-        new = np.where(inside, row + ~same, budget + 1)
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        new[j == 0] = np.minimum(new[j == 0], i)
-        new = np.minimum.accumulate(new - ramp) + ramp  # gaps along the text
-        new[(j < 0) | (j > n)] = budget + 1
-        row = np.minimum(new, budget + 1)
-        if row.min() > budget:
-            return budget + 1
-    return int(row.min())
+    wide = np.zeros(max(n + 2 * budget, m), np.uint32)  # room for diagonals that begin before the text or end after it
+    wide[budget : budget + n] = codes_of(text)
+    return int(banded_distances(codes_of(region)[None], wide[None])[0])
 
 
 class Index:
-    """Regions of a block of items and their sorted q-grams."""
+    """A block of items: their sorted q-grams with item and place, and their regions."""
 
-    def __init__(self, items: list[tuple[int, str | None]], q: int = Q, size: int = REGION, rate: float = RATE, shortest: int = SHORTEST):
-        assert size <= 128 and q <= size
-        self.size, self.q, self.items, self.texts, self.budget, self.least = size, q, [], [], [], []
-        hashes, owner, place = [], [], []
+    def __init__(self, items: list[tuple[int, str | None]], q: int = Q, size: int = REGION, stride: int = STRIDE, rate: float = RATE, shortest: int = SHORTEST):
+        self.size, self.q, self.stride, self.shortest, self.items, self.texts = size, q, stride, shortest, [], []
+        hashes, first, least, budget, count = [], [0], [], [], []
         for item, text in items:
             text = normalise(text)
-            if len(text) < shortest:
+            if len(text) < q:
                 continue
-            for a, b in regions(len(text), size):
-                e = int(rate * (b - a))
-                h = qgrams(codes_of(text[a:b]), q)
-                hashes.append(h)
-                owner.append(np.full(len(h), len(self.items), np.int64))
-                place.append(np.arange(len(h)))
-                self.items.append(item)
-                self.texts.append(text[a:b])
-                self.budget.append(e)
-                self.least.append(max(1, b - a + 1 - q * (e + 1)))
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+            self.items.append(item)
+            self.texts.append(codes_of(text))
+            hashes.append(qgrams(self.texts[-1], q))
+            m = min(len(text), size)
+            e = int(rate * m) if len(text) >= shortest else 0
+            budget.append(e)
+            least.append(max(1, m + 1 - q * (e + 1)))
+            count.append(1 if len(text) <= size else -(-(len(text) - size) // stride) + 1)
+            first.append(first[-1] + count[-1])
+        self.length = np.array([len(t) for t in self.texts], np.int64)
+        self.first, self.count, self.least, self.budget = np.array(first), np.array(count, np.int64), np.array(least, np.int64), np.array(budget, np.int64)
+        h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
         order = np.argsort(h, kind="stable")
-        h, self.owner, self.place = h[order], np.concatenate(owner)[order] if hashes else order, np.concatenate(place)[order] if hashes else order
-        self.keys, first = np.unique(h, return_index=True)
-        self.first = np.append(first, len(h))
+        h = h[order]
+        self.owner = np.repeat(np.arange(len(hashes), dtype=np.int32), [len(x) for x in hashes])[order]
+        self.place = np.concatenate([*(np.arange(len(x), dtype=np.int32) for x in hashes), np.zeros(0, np.int32)])[order]
+        self.keys, at = np.unique(h, return_index=True)
+        self.at = np.append(at, len(h))
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
-        self.band = max([2 * e for e in self.budget], default=0) or 1
-        self.budget, self.least = np.asarray(self.budget, np.int64), np.asarray(self.least, np.int64)
+        self.band = 2 * max(1, int(rate * size))
+
+    def region(self, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, start and length of regions by number."""
+        item = np.searchsorted(self.first, r, "right") - 1
+        m = np.minimum(self.length[item], self.size)
+        return item, np.minimum((r - self.first[item]) * self.stride, self.length[item] - m), m
 
-    def search(self, column) -> Iterator[tuple[int, int, int, int, int]]:
-        """(row, item, start and end of the verified stretch in the normalised text, edits) for a column of texts."""
+    def search(self, column) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item, regions found, least edits) for a column of texts."""
         data, off = buffers(column)
         if len(self.keys):
             for i, j in chunks(off, 1 << 20):
@@ -175,68 +174,135 @@ class Index:
         at, k, doc = at[inside], k[inside], doc[inside]
         if not len(at):
             return
-        # Documents are set apart by more than a region and its bands, so that a diagonal belongs to one of them.
-        width, gap = self.band, self.size + 2 * self.band
-        times = self.first[k + 1] - self.first[k]
-        entry = np.repeat(self.first[k] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
-        where = self.place[entry]
+        # Documents are set apart by more than an item and its bands, so that a diagonal belongs to one of them.
+        width, gap = self.band, int(self.length.max()) + 2 * self.band
+        times = self.at[k + 1] - self.at[k]
+        entry = np.repeat(self.at[k] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+        owner, where = self.owner[entry].astype(np.int64), self.place[entry].astype(np.int64)
         diagonal = np.repeat(at + doc * gap, times) - where + gap
-        left = begin[:-1] + np.arange(len(begin) - 1) * gap + gap
-        key = (self.owner[entry] << 41) | where
-        verified = set()
+        left = begin[:-1] + np.arange(len(begin) - 1) * gap + gap  # diagonal 0 of each document
+        found = []
         for shift in (0, width // 2):  # overlapping bands
-            band = key | (((diagonal + shift) // width) << 7)  # region, band, place
-            band.sort()
-            band = band[np.r_[True, band[1:] != band[:-1]]] >> 7
-            starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
-            n, band = np.diff(np.append(starts, len(band))), band[starts]
-            for b in band[n >= self.least[band >> 34]].tolist():
-                r, low = b >> 34, (b & ((1 << 34) - 1)) * width - shift
-                d = int(np.searchsorted(left - self.size, low + width - 1, "right")) - 1
-                if d < 0 or (r, d) in verified:
-                    continue
-                e = int(self.budget[r])
-                a, z = low - int(left[d]) - e, low - int(left[d]) + width + len(self.texts[r]) + e
-                a, z = max(0, a), min(int(begin[d + 1] - begin[d]), z)
-                edits = banded_distance(self.texts[r], text_of(codes[begin[d] + a : begin[d] + z]), e)
-                if edits <= e:
-                    verified.add((r, d))
-                    yield d, self.items[r], a, z, edits
+            key = (owner << 40) | ((diagonal + shift) // width)
+            order = np.argsort(key)
+            starts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+            n = np.diff(np.append(starts, len(key)))
+            many = n >= self.least[owner[order[starts]]]
+            order = order[np.repeat(many, n)]  # hits of bands with enough of them for one region at least
+            if not len(order):
+                continue
+            group, p = _distinct(key[order], where[order])
+            item = group >> 40
+            low = np.maximum(0, -(-(p - (self.size - self.q)) // self.stride))  # regions that hold the q-gram at p: low to high, and the last one
+            high = np.minimum(p // self.stride, self.count[item] - 2)
+            last = (p >= self.length[item] - np.minimum(self.length[item], self.size)).astype(np.int64)
+            each = np.maximum(high - low + 1, 0)
+            rep = np.repeat(np.arange(len(p)), each)
+            nth = np.arange(len(rep)) - np.repeat(np.cumsum(each) - each, each)
+            g = np.concatenate([group[rep], group[last > 0]])
+            r = np.concatenate([self.first[item[rep]] + low[rep] + nth, self.first[item[last > 0]] + self.count[item[last > 0]] - 1])
+            order = np.lexsort((r, g))
+            g, r = g[order], r[order]
+            starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (r[1:] != r[:-1])])
+            n = np.diff(np.append(starts, len(g)))
+            ok = starts[n >= self.least[g[starts] >> 40]]
+            low = (g[ok] & ((1 << 40) - 1)) * width - shift  # lowest diagonal of the band
+            found.append((r[ok], low))
+        if not found:
+            return
+        r, low = (np.concatenate(x) for x in zip(*found, strict=True))
+        d = np.searchsorted(left - gap + width, low + width, "right") - 1
+        sound = d >= 0
+        r, low, d = r[sound], low[sound], d[sound]
+        item, start, m = self.region(r)
+        edits = self._verify(codes, begin, item, start, m, low - left[d] + start, d)
+        ok = edits <= self.budget[item]
+        best: dict[tuple[int, int], dict[int, int]] = {}
+        for row, x, region, n in zip(d[ok].tolist(), item[ok].tolist(), r[ok].tolist(), edits[ok].tolist(), strict=True):
+            of = best.setdefault((row, x), {})
+            of[region] = min(n, of.get(region, n))
+        for (row, x), of in best.items():
+            yield row, self.items[x], len(of), min(of.values())
+
+    def _verify(self, codes: np.ndarray, begin: np.ndarray, item: np.ndarray, start: np.ndarray, m: np.ndarray, low: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Edits of each region in the stretch of its band, which begins at ``low`` in the document."""
+        edits = np.full(len(item), self.size, np.int64)
+        e = self.budget[item]
+        for size, budget in set(zip(m.tolist(), e.tolist(), strict=True)):
+            every = np.flatnonzero((m == size) & (e == budget))
+            for some in np.array_split(every, -(-len(every) // 2048)):
+                wide = np.arange(size + self.band + 2 * budget)
+                at = low[some, None] - budget + wide
+                inside = (at >= 0) & (at < (begin[d[some] + 1] - begin[d[some]])[:, None])
+                texts = np.where(inside, codes[np.clip(at + begin[d[some], None], 0, len(codes) - 1)], 0)
+                patterns = np.stack([self.texts[x][s : s + size] for x, s in zip(item[some].tolist(), start[some].tolist(), strict=True)])
+                edits[some] = banded_distances(patterns, texts)
+                if self.length[item[some]].max() < self.shortest:  # short items: whole words
+                    for i, x, t in zip(some.tolist(), item[some].tolist(), texts, strict=True):
+                        text = text_of(np.where(t == 0, 32, t))
+                        if edits[i] == 0 and f" {text_of(self.texts[x])} " not in f" {text} ":
+                            edits[i] = self.size
+        return edits
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    return a[new], b[new]
+
+
+def blocks_of(benchmark: DataFrame, item_col: str, item_text: str, block_chars: int) -> Iterator[Index]:
+    """Indexes of at most ``block_chars`` characters, or one item; an empty one for an empty benchmark."""
+    block, size, any_yet = [], 0, False
+    for item, text in benchmark.select(F.col(item_col).cast("long"), item_text).toLocalIterator():
+        block.append((item, text))
+        size += len(text or "")
+        if size >= block_chars:
+            yield Index(block)
+            block, size, any_yet = [], 0, True
+    if block or not any_yet:
+        yield Index(block)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, n_regions, least_edits) of every document that holds a region of an item."""
-    spark, given = docs.sparkSession, docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int64())])
+    given = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("regions", pa.int64()), ("edits", pa.int64())])
 
     def searcher(index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ix = index.value
             for batch in batches:
-                found = list(ix.search(batch.column(1)))
+                found = list(index.value.search(batch.column(1)))
                 if found:
                     names = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([names, pa.array([f[1] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([names, *[pa.array([f[i] for f in found], pa.int64()) for i in (1, 2, 3)]], schema=schema)
 
         return run
 
-    out, block, size = None, [], 0
-    rows = benchmark.select(F.col(item_col).cast("long"), item_text).toLocalIterator()
+    out = None
+    for index in blocks_of(benchmark, item_col, item_text, block_chars):
+        found = given.mapInArrow(searcher(docs.sparkSession.sparkContext.broadcast(index)), "doc_id long, item_id long, regions long, edits long")
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("doc_id", "item_id").agg(F.sum("regions").alias("n_regions"), F.min("edits").alias("least_edits"))
 
-    def search_block() -> DataFrame:
-        index = spark.sparkContext.broadcast(Index(block))  # at most block_chars characters
-        return given.mapInArrow(searcher(index), "doc_id long, item_id long, edits long")
 
-    for item, text in rows:
-        block.append((item, text))
-        size += len(text or "")
-        if size >= block_chars:
-            found, block, size = search_block(), [], 0
-            out = found if out is None else out.unionByName(found)
-    if block or out is None:
-        found = search_block()
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_regions"), F.min("edits").alias("least_edits"))
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no region of an item; each is decided where it is read."""
+    place = docs.columns.index(text_col)
+
+    def filtering(index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, *_ in index.value.search(batch.column(place))]] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for index in blocks_of(benchmark, item_col, item_text, block_chars):
+        docs = docs.mapInArrow(filtering(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+    return docs
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
