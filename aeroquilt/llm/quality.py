@@ -3,7 +3,8 @@
 Every rule votes good (+1), bad (-1) or abstains (0).  Expectation-maximisation over the table of vote patterns - at most 3 ** rules
 rows, whatever the corpus holds - estimates how each rule votes on good and on bad documents, and the share of good ones.  A document's posterior probability of being good replaces the all-must-pass filter.
 
-Defined cases: a null text has no words; a document without words fails the base test; ties at the posterior threshold are kept.
+Defined cases: a null text has no words; a document without words fails the base test; ties at the posterior threshold are kept; rows of one
+id are judged one by one; columns of the names that are added are replaced, and only the votes of ``RULES`` count as votes.
 Windows of five words are compared by 64-bit hashes inside one document.
 """
 
@@ -84,6 +85,8 @@ def with_signals(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs
 
 
+VOTES = [f"vote_{name}" for name in RULES]
+
 #: Where EM starts: probability of the votes (-1, 0, +1) of any rule, for good and for bad documents, and the share of good ones.
 START = {"good": (0.02, 0.38, 0.6), "bad": (0.4, 0.3, 0.3), "prior": 0.85}
 
@@ -93,7 +96,7 @@ def fit(votes: DataFrame, rounds: int = 40, tolerance: float = 1e-4, smoothing:
 
     ``smoothing`` pseudo-votes at the starting probabilities keep a rule that never fires from being read as evidence.
     """
-    names = [c for c in votes.columns if c.startswith("vote_")]
+    names = [c for c in votes.columns if c in VOTES]
     patterns = votes.groupBy(*names).agg(F.count("*").cast("double").alias("n"))
     patterns = votes.sparkSession.createDataFrame(patterns.collect(), patterns.schema).coalesce(1).cache()  # at most 3 ** len(names) rows
     model = {"prior": START["prior"], **{c: {y: START[y] for y in ("good", "bad")} for c in names}}
@@ -140,14 +143,13 @@ def posterior(model: dict) -> Column:
 def quality(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """``docs`` with signals, votes, ``quality`` (posterior) and ``kept``.  The counted table is written once; EM and the verdict read it."""
     counted = materialise(with_signals(docs, text_col), "quality")
-    votes = counted.where("not base_failed").select(*[c for c in counted.columns if c.startswith("vote_")])
-    p = posterior(fit(votes))
+    p = posterior(fit(counted.where("not base_failed").select(*VOTES)))
     return counted.withColumn("quality", p).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = materialise(with_signals(docs).drop("text"), "quality")
-    p = posterior(fit(counted.where("not base_failed").select(*[c for c in counted.columns if c.startswith("vote_")])))
+    p = posterior(fit(counted.where("not base_failed").select(*VOTES)))
     kept = counted.withColumn("quality", p).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .textnum import buffers
 
-CACHED = 1_500_000
+CACHED = 750_000  # words in each of two generations of the cache
 MARK = "▁"
 _counters: dict = {}
 
@@ -40,6 +40,7 @@ class ViterbiCounter:
         import ahocorasick
 
         self.cache: dict[bytes, int] = {}
+        self.old: dict[bytes, int] = {}
         self.byte_fallback = {f"<0x{b:02X}>" for b in range(256)} <= {p for p, _ in pieces}
         self.least = min(s for _, s in pieces) - 10.0
         self.automaton = ahocorasick.Automaton()
@@ -89,7 +90,7 @@ class ViterbiCounter:
         return pieces[n]
 
     def counts(self, texts: list[bytes]) -> list[int]:
-        out, cache = [], self.cache
+        out = []
         for t in texts:
             if not t:
                 out.append(0)
@@ -97,15 +98,16 @@ class ViterbiCounter:
             words = t.split(b" ")
             if not words[0] and len(words) > 1:
                 words = words[1:]
+            if len(self.cache) > CACHED:  # words of the generation before that are used again move on
+                self.cache, self.old = {}, self.cache
+            cache, old = self.cache, self.old
             try:
                 out.append(sum(map(cache.__getitem__, words)))
             except KeyError:
-                for w in set(words):
-                    if w not in cache:
-                        if len(cache) >= CACHED:
-                            cache.clear()
-                        cache[w] = self.count(MARK + w.decode("utf-8", "replace"))
-                out.append(sum(cache[w] if w in cache else self.count(MARK + w.decode("utf-8", "replace")) for w in words))
+                for w in set(words).difference(cache):
+                    n = old.get(w)
+                    cache[w] = self.count(MARK + w.decode("utf-8", "replace")) if n is None else n
+                out.append(sum(map(cache.__getitem__, words)))
         return out
 
 
