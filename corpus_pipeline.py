@@ -2,17 +2,22 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the next stage reads it back from Parquet.  All but the last return
 the columns of ``documents``.
+
+Defined cases: every row is decided by its own text, so rows that repeat an id with another text are documents of their own; of rows with the same text,
+one stays (the near-duplicate stage), that of the least id, and of several rows with the same id and text the one whose other columns hash lowest.
+A null text is an empty one, which the quality rules reject; a null id is larger than every other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from aeroquilt.llm.common import materialise, table
-from aeroquilt.llm.decontaminate import find_leaks
+from aeroquilt.llm.decontaminate import without_leaks
 from aeroquilt.llm.line_dedup import dedup_lines
-from aeroquilt.llm.near_dup import near_duplicates
+from aeroquilt.llm.near_dup import LAST_ID, near_duplicates
 from aeroquilt.llm.packing import pack_documents
 from aeroquilt.llm.quality import quality
 
@@ -41,17 +46,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of every near-duplicate class; rows without an id stay."""
-    classes = near_duplicates(docs)
-    gone = classes.where("doc_id <> class_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null")).select(*docs.columns)
+    """One document of every near-duplicate class: that of the smallest id."""
+    known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(LAST_ID)).alias("__doc")
+    stay = near_duplicates(docs).where("stays").select(known("doc_id"), F.col("digest").alias("__digest"))
+    keyed = docs.select(*docs.columns, known("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("__digest"))
+    order = F.xxhash64(*[f.name for f in docs.schema.fields if not isinstance(f.dataType, MapType)])
+    equal = Window.partitionBy("__doc", "__digest").orderBy(order)
+    kept = keyed.join(stay, ["__doc", "__digest"], "left_semi").withColumn("__nth", F.row_number().over(equal))
+    return kept.where("__nth = 1").select(*docs.columns)
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
