@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 BLOCK_BYTES = 4 << 20
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 16 << 20
 LEAST_RANGES = 32
 
 
@@ -130,7 +130,7 @@ def exchange(blocks: DataFrame, ask: Callable, kinds: list, fold: Callable, answ
         h = np.concatenate([np.cumsum(unpack(x, m, np.uint64), dtype=np.uint64) for x, m in zip(group.column("h").to_pylist(), n, strict=True)])
         columns = [np.concatenate([unpack(x, m, k) for x, m in zip(group.column(c).to_pylist(), n, strict=True)]) for c, k in zip(names, kinds, strict=True)]
         start = np.cumsum([0, *n])
-        at, value = fold(h, columns, np.repeat(np.arange(len(n)), n))
+        at, value = fold(h, columns, np.repeat(np.arange(len(n), dtype=np.int32), n))
         cut = np.searchsorted(at, start)
         some = np.flatnonzero(np.diff(cut)).tolist()
         parts = [(slice(cut[i], cut[i + 1]), start[i]) for i in some]

@@ -1,18 +1,19 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF word shingles.
 
-1.  Weights.  A shingle weighs its count in the document times log(1 + N / df), df being the exact number of documents that hold it.
+1.  Weights.  A shingle weighs its count in the document times 1 + log(N / df) / log(N + 1), df being the exact number of documents that hold it: from 1
+    for a shingle of all documents to about 2 for one of a single document, so that in a large group of copies a few edits do not outweigh all that is shared.
     Blocks of documents ask ranges of hashes how many documents hold each of their shingles (``blocks.exchange``), so a
     shingle that a third of all documents hold costs one question for each block, and no list of frequent shingles is needed.
 2.  Signatures.  Each document's weighted shingles give ``bands * rows`` consistent weighted samples.  Exact copies (by 128-bit digest of
     the text) collapse to one representative.
 3.  Links.  In each band bucket all members are linked to the one of the least digest, and links are verified by exact weighted Jaccard
-    similarity, in tasks of bounded size.  Buckets that then still hold several components are searched again, by signatures
-    alone and in blocks of bounded size: pairs across components that agree on enough samples are verified, likeliest first and in rounds, until none
-    is left that could join two components.  No bucket emits all its pairs, and none is capped.
+    similarity, in tasks of bounded size.  Buckets that then still hold several components are searched again in blocks of bounded size: first by
+    signatures alone, which leaves the members that agree with one of another component on enough samples; then these meet with their texts, and
+    components are joined inside the task, so that a pair within a joined component is not looked at.  No bucket emits its pairs, and none is capped.
 4.  Classes are connected components by alternating large-star and small-star steps.
 
 Pairs at the bar meet in a band with probability 0.99 or more (``banding``).  Two bounds skip pairs: total weights that differ by more than the bar
-cannot reach it, which is exact; and pairs across components must agree on all but four standard deviations of the samples expected at the bar.
+cannot reach it, which is exact; and pairs across components must agree on all but three standard deviations of the samples expected at the bar.
 
 Defined cases: equal texts share a class, empty and null ones too; a document without words has no other near duplicates; one with fewer
 than five words has one shingle of all of them; an id with several texts is several documents, each with its own row; equal rows count
@@ -35,7 +36,8 @@ from .textnum import buffers, chunks, distinct, mix, shingles, word_hashes
 
 SIMILAR = 0.8
 SAMPLES = 40
-BLOCK = 1024  # signatures compared with each other in one task, or twice as many with others
+BLOCK = 1024  # members of a bucket compared with each other in one task, or with as many others
+BLOCK_SHINGLES = 1 << 21  # and at most about so many shingles
 LEADS = 512  # texts compared with one representative in one task
 TASK_PAIRS = 2000
 LAST_ID = (1 << 63) - 1
@@ -67,7 +69,7 @@ def vectors(column, k: int = 5, most: int = 1 << 20) -> Iterator[tuple[int, int,
 
 def weigh(n: int, times: np.ndarray, df: np.ndarray) -> np.ndarray:
     """TF-IDF weight of shingles that ``df`` of ``n`` documents hold."""
-    return np.log1p(n / df).astype(np.float32) * times.astype(np.float32)
+    return (1 + np.log(n / df) / np.log(n + 1)).astype(np.float32) * times.astype(np.float32)
 
 
 def asker(k: int = 5):
@@ -128,9 +130,9 @@ def signatures_of(h: np.ndarray, doc: np.ndarray, w: np.ndarray, size: int, tabl
 
 
 def sign(docs: DataFrame, k: int = 5, samples: int = SAMPLES) -> tuple[DataFrame, int]:
-    """``doc, digest, text`` to ``doc, digest, weight, signature, df``, and the number of rows.
+    """``doc, digest, text`` to ``doc, digest, weight, signature, df, shingles``, and the number of rows.
 
-    The last three are null but in one row of each digest in a block, and there too without words; ``df`` is packed, by sorted shingle.
+    ``weight``, ``signature`` and ``df`` are null but in one row of each digest in a block, and there too without words; ``df`` is packed, by sorted shingle.
     """
     blocks = to_blocks(docs.select("doc", "digest", "text"), "near-blocks")
     n, ranges, ask = blocks.agg(F.sum("n")).first()[0] or 0, range_count(blocks), asker(k)
@@ -157,11 +159,11 @@ def sign(docs: DataFrame, k: int = 5, samples: int = SAMPLES) -> tuple[DataFrame
             out.append(pa.table({
                 "doc": rows.column("doc").slice(i, j - i), "digest": rows.column("digest").slice(i, j - i), "weight": pa.array([t if y else None for t, y in zip(total.tolist(), have, strict=True)], pa.float64()),
                 "signature": pa.array([x.tobytes() if y else None for x, y in zip(s, have, strict=True)], pa.binary()),
-                "df": pa.array([pack(own[cut[d] : cut[d + 1]]) if y else None for d, y in enumerate(have)], pa.binary()),
+                "df": pa.array([pack(own[cut[d] : cut[d + 1]]) if y else None for d, y in enumerate(have)], pa.binary()), "shingles": pa.array(np.diff(cut), pa.int64()),
             }))
         return pa.concat_tables(out)
 
-    signed = with_answers(blocks, answered, ask, use, np.uint32, ranges, "doc long, digest binary, weight double, signature binary, df binary")
+    signed = with_answers(blocks, answered, ask, use, np.uint32, ranges, "doc long, digest binary, weight double, signature binary, df binary, shingles long")
     signed = materialise(signed, "near-signed")
     forget(blocks, answered)
     return signed, n
@@ -236,45 +238,87 @@ def components(links: DataFrame, name: str = "near-components") -> DataFrame:
 
 
 def expected_agreement(least: float, samples: int) -> int:
-    """Samples on which a pair at the bar agrees, less four standard deviations."""
-    return max(1, math.floor(samples * least - 4 * math.sqrt(samples * least * (1 - least))))
+    """Samples on which a pair at the bar agrees, less three standard deviations."""
+    return max(1, math.floor(samples * least - 3 * math.sqrt(samples * least * (1 - least))))
 
 
-def _likely(bands: int, rows: int, least: float, per_row: int):
-    """Pairs of a bucket's blocks, across components, that may reach the bar: likeliest first, from the group's ``start`` on.
+def _pairs(group: pa.Table, bands: int, rows: int, least: float) -> np.ndarray:
+    """(samples in common, i, j): pairs of the two blocks of a group that may reach the bar, across components.
 
-    ``at`` counts the pairs in that order; a group that has more to give than ``per_row`` times its rows says so in its last row.  A pair that shares
-    several buckets is looked at in the one of its first common band.
+    A pair that shares several buckets is looked at in the one of its first common band.
     """
-    samples = bands * rows
-    enough = expected_agreement(least, samples)
+    samples, side, weight = bands * rows, group.column("blk").to_numpy(), group.column("weight").to_numpy()
+    s = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(len(side), samples)
+    _, comp = np.unique(np.array([x.ljust(17, b".") for x in group.column("class").to_pylist()]), return_inverse=True)
+    low, high, band = (group.column(c)[0].as_py() for c in ("lo", "hi", "band"))
+    enough, right, found = expected_agreement(least, samples), np.flatnonzero(side == high), [np.zeros((3, 0), np.int64)]
+    for i in np.flatnonzero(side == low):
+        other = right[right > i] if low == high else right
+        other = other[(comp[other] != comp[i]) & (np.minimum(weight[other], weight[i]) >= least * np.maximum(weight[other], weight[i]))]
+        same = s[other] == s[i]
+        equal = same.sum(axis=1)
+        hit = (equal >= enough) & ~same[:, : band * rows].reshape(len(other), band, rows).all(axis=2).any(axis=1)
+        found.append(np.stack([equal[hit], np.full(int(hit.sum()), i), other[hit]]))
+    return np.concatenate(found, axis=1)
+
+
+def _likely(bands: int, rows: int, least: float):
+    """The rows of a group that are in any of its pairs."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("digest")
-        ids, weight, side = group.column("digest").to_pylist(), group.column("weight").to_numpy(), group.column("blk").to_numpy()
-        _, comp = np.unique(np.array([x.ljust(17, b".") for x in group.column("class").to_pylist()]), return_inverse=True)
-        s = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(len(ids), samples)
-        key, low, high, band, start = (group.column(c)[0].as_py() for c in ("key", "lo", "hi", "band", "start"))
-        right, found = np.flatnonzero(side == high), []
-        for i in np.flatnonzero(side == low):
-            other = right[right > i] if low == high else right
-            other = other[np.minimum(weight[other], weight[i]) >= least * np.maximum(weight[other], weight[i])]
-            equal = (s[other] == s[i]).sum(axis=1)
-            before = (s[other, : band * rows] == s[i, : band * rows]).reshape(len(other), band, rows).all(axis=2).any(axis=1)
-            hit = (equal >= enough) & ~before
-            found.append(np.stack([equal[hit], np.full(int(hit.sum()), i), other[hit]]))
-        found = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-        found = found[:, np.lexsort((found[2], found[1], -found[0]))][:, start:]
-        open_yet = np.flatnonzero(comp[found[1]] != comp[found[2]])
-        more = len(open_yet) > per_row * len(ids)
-        open_yet = open_yet[: per_row * len(ids)]
-        a, b = ([ids[x] for x in found[i][open_yet].tolist()] for i in (1, 2))
-        end = [False] * len(a)
-        if more:
-            end[-1] = True
-        columns = {"key": [key] * len(a), "lo": [low] * len(a), "hi": [high] * len(a), "at": (open_yet + start).tolist(), "a": a, "b": b, "more": end}
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.bool_())
-        return pa.table([pa.array(v, t) for v, t in zip(columns.values(), kinds, strict=True)], names=list(columns))
+        group = group.sort_by("digest").combine_chunks()
+        return group.take(pa.array(np.unique(_pairs(group, bands, rows, least)[1:])))
+
+    return run
+
+
+def _joining(bands: int, rows: int, least: float, n: int, k: int = 5):
+    """Verified links that join the components of a group; ``n``: documents in all.  The similarities of a member with all it may be like are summed at once."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("digest").combine_chunks()
+        ids, dfs, found = group.column("digest").to_pylist(), group.column("df").to_pylist(), _pairs(group, bands, rows, least)
+        h, doc, w = [], [], []
+        for i, j, own, of, times in vectors(group.column("text"), k):
+            df = np.concatenate([unpack(dfs[i + d], c, np.uint32) for d, c in enumerate(np.bincount(of, minlength=j - i).tolist()) if c])
+            h, doc, w = [*h, own], [*doc, of + i], [*w, weigh(n, times, df)]
+        h, doc, w = np.concatenate(h), np.concatenate(doc), np.concatenate(w).astype(np.float64)
+        total, cut = np.bincount(doc, w, minlength=len(ids)), np.searchsorted(doc, np.arange(len(ids) + 1))
+        order = np.argsort(h, kind="stable")
+        head = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+        count = np.diff(np.append(head, len(h)))
+        place = np.empty(len(h), np.int64)
+        place[order] = np.repeat(np.arange(len(head)), count)
+        doc_of, w_of = doc[order], w[order]
+        named = {}
+        root = [named.setdefault(c, len(named)) for c in group.column("class").to_pylist()]
+        comp, root = root, list(range(len(named)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        links, found = [], found[:, np.argsort(found[1], kind="stable")]
+        starts = np.flatnonzero(np.r_[True, found[1][1:] != found[1][:-1]]) if found.shape[1] else np.zeros(0, np.int64)
+        runs = list(zip(starts.tolist(), np.append(starts[1:], found.shape[1]).tolist(), strict=True))
+        for x, y in sorted(runs, key=lambda r: -int(found[0, r[0] : r[1]].max())):  # likeliest members first
+            i = int(found[1, x])
+            open_yet = [j for j in found[2, x:y][np.argsort(-found[0, x:y], kind="stable")].tolist() if find(comp[j]) != find(comp[i])]
+            if not open_yet:
+                continue
+            mine = place[cut[i] : cut[i + 1]]
+            size = count[mine]
+            ends = np.cumsum(size)
+            at = np.repeat(head[mine] - ends + size, size) + np.arange(int(ends[-1]))
+            both = np.bincount(doc_of[at], np.minimum(np.repeat(w[cut[i] : cut[i + 1]], size), w_of[at]), minlength=len(ids))
+            for j in open_yet:
+                a, b = find(comp[i]), find(comp[j])
+                if a != b and both[j] >= least * (total[i] + total[j] - both[j]):
+                    root[max(a, b)] = min(a, b)
+                    links.append((ids[min(i, j)], ids[max(i, j)]))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
 
     return run
 
@@ -282,9 +326,11 @@ def _likely(bands: int, rows: int, least: float, per_row: int):
 def _members(buckets: DataFrame, label: DataFrame, reps: DataFrame) -> DataFrame:
     """Rows of the buckets that hold several components: one for each pair of blocks that a member belongs to."""
     named = buckets.join(label, buckets["digest"] == label["node"], "left").withColumn("class", F.coalesce("class", "digest")).drop("node")
-    split = named.groupBy("key").agg(F.count("*").alias("size"), F.count("*").alias("n"), F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1 and size > 2").select("key", "size", "n")
-    named = join_unique(named, split, "key", "n", ["digest"], "inner").join(reps.select("digest", "weight", "signature"), "digest")
-    named = named.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    named = named.join(reps.select("digest", "weight", "signature", "shingles"), "digest")
+    size = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
+    split = named.groupBy("key").agg(size.alias("blocks"), F.count("*").alias("n"), F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1 and n > 2").select("key", "blocks", "n")
+    named = join_unique(named, split, "key", "n", ["digest"], "inner")
+    named = named.withColumn("blk", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     spread = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return spread.select("key", "band", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "digest", "class", "weight", "signature")
 
@@ -300,7 +346,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands, rows = banding(least, samples)
     signed, n = sign(given, k, bands * rows)
     one = signed.select("doc", "digest").distinct()
-    reps = signed.groupBy("digest").agg(F.min("doc").alias("doc"), F.max(F.struct("signature", "weight", "df")).alias("s")).select("digest", "doc", "s.*").where("signature is not null")
+    reps = signed.groupBy("digest").agg(F.min("doc").alias("doc"), F.max(F.struct("signature", "weight", "df", "shingles")).alias("s")).select("digest", "doc", "s.*").where("signature is not null")
     reps = materialise(reps, "near-reps")
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring(F.col("signature"), i * 4 * rows + 1, F.lit(4 * rows))).alias("key")))
     member = reps.select("digest", "weight", F.explode(keys).alias("k")).select("digest", "weight", "k.band", "k.key")
@@ -312,21 +358,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = reps.join(buckets.select("digest").distinct(), "digest").select("digest", "doc", "df")
     texts = materialise(given.join(wanted, ["doc", "digest"]).select("digest", "text", "df").dropDuplicates(["digest"]), "near-texts")
     links = materialise(verify(pairs, texts, n, least, k), "near-links")
-    buckets, label, starts, per_row = buckets.select("key", "band", "digest"), components(links), None, 4
-    while True:  # buckets with several components left: look across them
-        across = _members(buckets, label, reps)
-        across = across.withColumn("start", F.lit(0).cast("long")) if starts is None else across.join(starts, ["key", "lo", "hi"])
-        found = materialise(across.groupBy("key", "lo", "hi").applyInArrow(_likely(bands, rows, least, per_row), "key long, lo int, hi int, at long, a binary, b binary, more boolean"), "near-likely")
-        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = materialise(verify(pairs, texts, n, least, k), "near-more")
-        more = fresh.limit(1).count()
-        if more:
-            links = links.unionByName(fresh)
-            label = components(links)
-        starts = found.where("more").select("key", "lo", "hi", (F.col("at") + 1).alias("start"))
-        if not starts.limit(1).count():
-            break
-        per_row *= 2
+    buckets, label = buckets.select("key", "band", "digest"), components(links)
+    across = _members(buckets, label, reps)  # of buckets with several components left
+    likely = across.groupBy("key", "lo", "hi").applyInArrow(_likely(bands, rows, least), across.schema)
+    more = likely.join(texts, "digest").groupBy("key", "lo", "hi").applyInArrow(_joining(bands, rows, least, n, k), "a binary, b binary")
+    label = components(links.unionByName(materialise(more, "near-more")))
     first = one.groupBy("digest").agg(F.min("doc").alias("copy_of"), F.count("*").alias("n"))
     named = first.join(label, first["digest"] == label["node"], "left").withColumn("class", F.coalesce("class", "digest")).drop("node")
     named = materialise(named, "near-named")

@@ -18,7 +18,7 @@ def brute_classes(texts, least):
     words = [(t or "").lower().split() for t in texts]
     grams = [collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else collections.Counter() for w in words]
     held, at = collections.Counter(g for c in grams for g in c), collections.defaultdict(list)
-    weights = [{g: x * np.log1p(len(texts) / held[g]) for g, x in c.items()} for c in grams]
+    weights = [{g: x * (1 + np.log(len(texts) / held[g]) / np.log(len(texts) + 1)) for g, x in c.items()} for c in grams]
     total, root = [sum(w.values()) for w in weights], list(range(len(texts)))
 
     def find(x):
@@ -81,7 +81,7 @@ def test_weights_are_exact(spark):
     for (_, t), c in zip(rows, grams, strict=True):
         r = whole[hashlib.md5(t.encode()).digest()]
         assert sorted(blocks.unpack(r.df, len(c), np.uint32).tolist()) == sorted(held[g] for g in c)
-        assert abs(r.weight - sum(x * np.log1p(n / held[g]) for g, x in c.items())) < 1e-3 * r.weight
+        assert abs(r.weight - sum(x * (1 + np.log(n / held[g]) / np.log(n + 1)) for g, x in c.items())) < 1e-3 * r.weight
 
 
 def test_samples_agree_as_often_as_the_similarity():
@@ -105,25 +105,40 @@ def test_bands_meet_at_the_bar():
         assert bands * rows <= 40 and 1 - (1 - least**rows) ** bands >= 0.99
 
 
-@pytest.mark.parametrize("per_row", [4, 1])
-def test_pairs_across_components_come_in_rounds(per_row):
-    """A hub that is like none of its bucket, and members that are like each other: all pairs come, in one round or several."""
-    rng = np.random.default_rng(9)
-    base = rng.integers(1, 1 << 30, 40).astype(np.uint32)
-    sig = [rng.integers(1, 1 << 30, 40).astype(np.uint32)] + [np.where(rng.random(40) < 0.1, rng.integers(1, 1 << 30, 40), base).astype(np.uint32) for _ in range(12)]
-    for s in sig:
-        s[:4] = base[:4]  # the bucket of band 0
-    names = [bytes([i]) * 16 for i in range(13)]
-    want = {(names[j], names[i]) for i in range(13) for j in range(i) if (sig[i] == sig[j]).sum() >= near_dup.expected_agreement(0.8, 40)}
-    run, got, start = near_dup._likely(10, 4, 0.8, per_row), [], 0
-    while True:
-        columns = {"key": [7] * 13, "band": [0] * 13, "lo": [0] * 13, "hi": [0] * 13, "blk": [0] * 13, "start": [start] * 13, "digest": names, "class": names, "weight": [100.0] * 13, "signature": [s.tobytes() for s in sig]}
-        out = run(pa.table(columns)).to_pylist()
-        got += [(r["a"], r["b"]) for r in out]
-        if not out or not out[-1]["more"]:
-            break
-        start = out[-1]["at"] + 1
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
+def test_components_of_a_bucket_are_joined():
+    """A hub that is like none of its bucket, and members that are like each other: links join what similarity joins, with and without blocks."""
+    rng, words = np.random.default_rng(9), prose(1, 60).split()
+    texts = [prose(500, 60)] + [" ".join(str(w) if rng.random() > 0.02 else f"x{i}{j}" for j, w in enumerate(words)) for i in range(12)] + [prose(600 + i, 60) for i in range(3)]
+    n, column = 100, pa.array(texts)
+    (_, _, h, doc, times), = near_dup.vectors(column)
+    df = np.ones(len(h), np.uint32)
+    sig = near_dup.signatures_of(h, doc, near_dup.weigh(n, times, df), len(texts), near_dup._samples(), 40)
+    sig[:, :4] = 7  # the bucket of band 0
+    cut, names = np.searchsorted(doc, np.arange(len(texts) + 1)), [bytes([i]) * 16 for i in range(len(texts))]
+    vector = [(h[a:b], near_dup.weigh(n, times[a:b], df[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    similar = [(i, j) for i in range(len(texts)) for j in range(i) if near_dup.weighted_jaccard(vector[i], vector[j]) >= 0.8]
+
+    def classes(links):
+        root = list(range(len(texts)))
+        for i, j in links:
+            root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+        return root
+
+    packed = [blocks.pack(df[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    whole = pa.table({"key": [7] * 16, "band": [0] * 16, "lo": [0] * 16, "hi": [0] * 16, "blk": [0] * 16, "digest": names, "class": names, "weight": [float(w.sum()) for _, w in vector], "signature": [s.tobytes() for s in sig]})
+    likely = near_dup._likely(10, 4, 0.8)(whole)
+    kept = [names.index(x) for x in likely.column("digest").to_pylist()]
+    assert 0 not in kept and {i for p in similar for i in p} <= set(kept)
+    likely = likely.append_column("text", column.take(pa.array(kept))).append_column("df", pa.array([packed[i] for i in kept]))
+    got = [(names.index(r["a"]), names.index(r["b"])) for r in near_dup._joining(10, 4, 0.8, n)(likely).to_pylist()]
+    assert classes(got) == classes(similar) and len(got) == len(texts) - len(set(classes(similar))) >= 5
+    side = pa.array([i % 2 for i in kept])
+    halves = []
+    for lo, hi in ((0, 0), (0, 1), (1, 1)):
+        some = likely.set_column(4, "blk", side).set_column(2, "lo", pa.array([lo] * len(kept))).set_column(3, "hi", pa.array([hi] * len(kept)))
+        some = some.filter(pa.array([x.as_py() in (lo, hi) for x in side]))
+        halves += [(names.index(r["a"]), names.index(r["b"])) for r in near_dup._joining(10, 4, 0.8, n)(some).to_pylist()]
+    assert classes(halves) == classes(similar)
 
 
 def test_components_against_union_find(spark):
