@@ -35,3 +35,19 @@ def test_stages(spark, tmp_path):
     assert 44 in ids[2] and 44 not in ids[3] and set(clean) <= ids[3]
     packed = cp.STAGES[-1][1](spark, df, str(tmp_path)).toPandas()
     assert set(packed.doc_id) == ids[3] and packed.groupby("sequence_id").length.sum().max() <= 4096 and np.all(packed.offset >= 0)
+
+
+def test_repeated_ids_and_rows(spark, tmp_path):
+    """Rows of one id are decided by their own texts; of equal rows one stays."""
+    import corpus_pipeline as cp
+
+    text = lambda k: ". ".join(prose(1000 * k + i, 9) for i in range(14)) + "."
+    item = prose(901, 30)
+    rows = [(1, text(1), "a"), (1, text(2), "b"), (2, text(3), "c"), (2, text(3), "d"), (3, text(3), "e"), (None, text(4), "f"), (None, text(4), "g"), (4, text(5) + " " + item, "h"), (4, text(6), "i"), (5, None, "j"), (6, "", "k")]
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    near = [(r.doc_id, r.text) for r in cp.near_stage(spark, df, str(tmp_path)).collect()]
+    assert sorted(near, key=str) == sorted([(1, text(1)), (1, text(2)), (2, text(3)), (None, text(4)), (4, rows[7][1]), (4, text(6)), (5, None)], key=str)
+    assert sorted(r.source for r in cp.leak_stage(spark, df, str(tmp_path)).collect()) == list("abcdefgijk")
+    for name, stage in cp.STAGES:
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0, name
