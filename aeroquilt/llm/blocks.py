@@ -9,6 +9,8 @@ before they are read, so a lost executor repeats a task, not the numbering of th
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,6 +48,13 @@ def unpack(raw: bytes, n: int, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, n).T).view(dtype).ravel()
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the machine: a worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def _row_bytes(batch: pa.RecordBatch) -> np.ndarray:
     """About the size of each row, by its strings."""
     size = np.full(batch.num_rows, 16, np.int64)
@@ -123,6 +132,7 @@ def exchange(blocks: DataFrame, ask: Callable, kinds: list, fold: Callable, answ
                     out.append((r, block, int(cut[r + 1] - cut[r]), pack(np.diff(h[some], prepend=np.uint64(0))), *packed))
                 types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * (1 + len(kinds))]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["range", "block", "n", "h", *names])
+        release()
 
     def answers(group: pa.Table) -> pa.Table:
         group = group.sort_by("block")
@@ -131,6 +141,8 @@ def exchange(blocks: DataFrame, ask: Callable, kinds: list, fold: Callable, answ
         columns = [np.concatenate([unpack(x, m, k) for x, m in zip(group.column(c).to_pylist(), n, strict=True)]) for c, k in zip(names, kinds, strict=True)]
         start = np.cumsum([0, *n])
         at, value = fold(h, columns, np.repeat(np.arange(len(n), dtype=np.int32), n))
+        del h, columns
+        release()
         cut = np.searchsorted(at, start)
         some = np.flatnonzero(np.diff(cut)).tolist()
         parts = [(slice(cut[i], cut[i + 1]), start[i]) for i in some]
@@ -160,6 +172,9 @@ def with_answers(blocks: DataFrame, answered: DataFrame, ask: Callable, use: Cal
         for x in told.to_pylist():
             at.append(unpack(x["at"], x["n"], np.uint32).astype(np.int64) + cut[x["range"]])
             values.append(unpack(x["value"], x["n"], answer))
-        return use(rows, state, np.concatenate(at), np.concatenate(values))
+        out = use(rows, state, np.concatenate(at), np.concatenate(values))
+        del rows, state, h, at, values
+        release()
+        return out
 
     return blocks.select("block", "data").groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, schema)

@@ -153,7 +153,7 @@ class Index:
         """(row, item, regions found, least edits) for a column of texts."""
         data, off = buffers(column)
         if len(self.keys):
-            for i, j in chunks(off, 1 << 20):
+            for i, j in chunks(off, 1 << 19):
                 for row, *found in self._search(data[off[i] : off[j]], off[i : j + 1] - off[i]):
                     yield row + i, *found
 

@@ -59,7 +59,7 @@ def _samples() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rng.gamma(2, 1, n).astype(np.float32), np.log(rng.gamma(2, 1, n)).astype(np.float32), rng.random(n, np.float32)
 
 
-def vectors(column, k: int = 5, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def vectors(column, k: int = 5, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first, last, hash, document, times) of ranges of rows: distinct shingles by document, sorted by hash inside it."""
     data, off = buffers(column)
     for i, j in chunks(off, most):

@@ -27,6 +27,7 @@ from .wordpieces import Encoder
 CAPACITY = 4096
 OPEN_BINS = 64
 SHARD_FILLS = 16
+CHUNK_BYTES = 1 << 19  # of text whose words are looked up at once
 _encoders: dict = {}
 
 
@@ -44,7 +45,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, en
         enc, tail = encoder(tokenizer), np.asarray([end_id], "<u4")
         for batch in batches:
             names, (data, off) = batch.column(0).to_pylist(), buffers(batch.column(1))
-            for i, j in chunks(off):
+            for i, j in chunks(off, CHUNK_BYTES):
                 ids, at = enc.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 ids = np.insert(ids.astype("<u4"), at[1:], tail)  # the end id after each document
                 at = at + np.arange(len(at))

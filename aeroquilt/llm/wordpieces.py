@@ -62,10 +62,10 @@ def classes() -> tuple[np.ndarray, np.ndarray]:
 def _power(n: int, inverse: bool) -> np.ndarray:
     have = _powers.get(inverse)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 20), pow(_BASE, -1, 1 << 64) if inverse else _BASE, np.uint64)
+        have = np.full(max(n, 1 << 19), pow(_BASE, -1, 1 << 64) if inverse else _BASE, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if len(have) <= 1 << 23:
+        if len(have) <= 1 << 21:
             _powers[inverse] = have
     return have[:n]
 
