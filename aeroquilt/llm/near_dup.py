@@ -214,7 +214,7 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, least: float, k: int = 5,
 def components(links: DataFrame, name: str = "near-components") -> DataFrame:
     """(node, class) of every linked node but the least of its component: that least one, by alternating large-star and small-star steps.
 
-    A node with many links is joined to them in several tasks.
+    A row is two digests.  Both joins end in a shuffle by other columns, so adaptive execution may split the partition of a node with very many links.
     """
 
     def stamp(e: DataFrame) -> tuple:
@@ -224,10 +224,10 @@ def components(links: DataFrame, name: str = "near-components") -> DataFrame:
     before = stamp(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
-        large = join_unique(both, low, "u", "n", ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # larger neighbours go to the least
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_unique(large, low, "u", "n", ["v"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # larger neighbours go to the least
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
         after = stamp(new)
         forget(edges)
