@@ -151,14 +151,28 @@ def parts_of(files: DataFrame, cues: list[str]) -> DataFrame:
     flags = F.array_join(F.transform("lines", lambda x: F.when(F.rlike(x, F.lit(COMMENT)), "1").otherwise("0")), "")
     before = F.length(F.regexp_extract(F.substring(flags, F.lit(1), F.col("at")), "1*$", 0))
     after = F.length(F.regexp_extract(F.substring(flags, F.col("at") + 1, F.length(flags)), "^1*", 0))
-    block = F.when(F.rlike("line", F.lit(COMMENT)), F.array(part("block", F.col("at") - before, F.array_join(F.slice("lines", F.col("at") - before + 1, before + after), " ")))).otherwise(F.array().cast("array<struct<kind:string,at:int,text:string>>"))
-    near = lines.select("path", "row", F.explode(F.concat(F.array(part("line", F.col("at"), F.col("line")), *windows), sentences, block)).alias("p")).select("path", "row", "p.*").distinct()
+    cue = lambda x: F.arrays_overlap(F.split(F.lower(x), "[^a-z0-9]+"), F.array(*[F.lit(c) for c in cues]))
+    leads = F.rlike("line", F.lit(COMMENT)) & ~F.exists(F.slice("lines", F.col("at") - before + 1, before), cue)  # the first line of the block with a cue
+    block = F.when(leads, F.array(part("block", F.col("at") - before, F.array_join(F.slice("lines", F.col("at") - before + 1, before + after), " ")))).otherwise(F.array().cast("array<struct<kind:string,at:int,text:string>>"))
+    near = lines.select("path", "row", F.explode(F.concat(F.array(part("line", F.col("at"), F.col("line")), *windows), sentences, block)).alias("p")).select("path", "row", "p.*")
     whole = files.where(F.rlike("path", F.lit(LICENCE_FILE)))
     paragraphs = F.transform(F.split("text", r"\n\s*\n"), lambda x, i: part("paragraph", i, x))
-    whole = whole.select("path", "row", F.explode(F.concat(F.array(part("file", F.lit(0), F.col("text"))), paragraphs)).alias("p")).select("path", "row", "p.*").distinct()
+    whole = whole.select("path", "row", F.explode(F.concat(F.array(part("file", F.lit(0), F.col("text"))), paragraphs)).alias("p")).select("path", "row", "p.*")
     return near.unionByName(whole)
 
 
+def promising(words: Column, vocabulary: list[str], least: float) -> Column:
+    """Whether a part can reach ``least``: its terms outside the templates weigh most, so their number bounds the cosine from above."""
+    known = F.array(*[F.lit(w) for w in vocabulary])
+
+    def bound(w: Column) -> Column:
+        inside = lambda ins: F.aggregate(F.array_distinct(ins), F.lit(0.0), lambda acc, t: acc + F.pow(F.size(F.filter(ins, lambda x: x == t)), 2))
+        squares = F.transform(F.array(F.filter(w, lambda x: F.array_contains(known, x))), inside)[0]
+        return F.size(F.array_except(w, known)) <= squares * F.lit((1 / least**2 - 1) * 1.001)
+
+    return F.transform(F.array(words), bound)[0]
+
+
 def own_licences(files: DataFrame, path_col: str, text_col: str, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
     """(path, licence, score) of the files that carry a notice, a header or a licence text."""
     spark = files.sparkSession
@@ -171,7 +185,8 @@ def own_licences(files: DataFrame, path_col: str, text_col: str, templates=TEMPL
         some = some | F.contains(low, F.lit(c))
     given = files.where(F.col(path_col).isNotNull() & some).select(F.col(path_col).alias("path"), F.xxhash64(text_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     key = ["path", "row", "kind", "at"]
-    words = parts_of(given, cues).select(*key, F.explode(terms(F.col("text"))).alias("term"))
+    parts = parts_of(given, cues).where(promising(terms(F.col("text")), sorted(idf), least))
+    words = parts.select(*key, F.explode(terms(F.col("text"))).alias("term"))  # repeated rows of a path multiply all counts of a part: the same cosine
     tf = words.groupBy(*key, "term").agg(F.count("*").alias("tf"))
     known = spark.createDataFrame([(t, float(x)) for t, x in idf.items()], "term string, idf double")
     model = spark.createDataFrame([(k, lic, t, float(x)) for lic, k, unit in units for t, x in unit.items()], "template int, licence string, term string, unit double")
