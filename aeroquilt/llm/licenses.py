@@ -186,7 +186,8 @@ def own_licences(files: DataFrame, path_col: str, text_col: str, templates=TEMPL
     given = files.where(F.col(path_col).isNotNull() & some).select(F.col(path_col).alias("path"), F.xxhash64(text_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     key = ["path", "row", "kind", "at"]
     parts = parts_of(given, cues).where(promising(terms(F.col("text")), sorted(idf), least))
-    words = parts.select(*key, F.explode(terms(F.col("text"))).alias("term"))  # repeated rows of a path multiply all counts of a part: the same cosine
+    # All that is done with a part is done where its words meet.
+    words = parts.select(*key, F.explode(terms(F.col("text"))).alias("term")).repartition(*key)  # repeated rows of a path multiply all counts of a part: the same cosine
     tf = words.groupBy(*key, "term").agg(F.count("*").alias("tf"))
     known = spark.createDataFrame([(t, float(x)) for t, x in idf.items()], "term string, idf double")
     model = spark.createDataFrame([(k, lic, t, float(x)) for lic, k, unit in units for t, x in unit.items()], "template int, licence string, term string, unit double")
