@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 from ..functions import camera as C
 
 
@@ -77,7 +79,7 @@ def affine_moments(matches: DataFrame, by: list[str]) -> DataFrame:
 
 
 def solve_gains(pairs: DataFrame, sigma_n: float = 10.0, sigma_g: float = 0.1) -> DataFrame:
-    """(image_id, gain): gains that bring the mean colours (mi, mj) of pairs (i, j, n, mi, mj) together, held near 1, clipped to 0.5 .. 2.
+    """(image_id, gain): gains that bring the mean colours (mi, mj) of pairs (i, j, n, mi, mj) together, held near 1, clipped to 0.5 .. 2.  One channel.
 
     The normal equations have one row per photo and are solved on the driver.
     """
@@ -85,41 +87,69 @@ def solve_gains(pairs: DataFrame, sigma_n: float = 10.0, sigma_g: float = 0.1) -
     w = F.col("n") / (sigma_n * sigma_n)
     terms = pairs.select(F.explode(F.array(*[F.struct(F.col(r).cast("int").alias("r"), F.col(c).cast("int").alias("c"), v.alias("v")) for r, c, v in (("i", "i", w * a * a), ("j", "j", w * b * b), ("i", "j", -w * a * b), ("j", "i", -w * a * b))])).alias("t"))
     rows = terms.groupBy("t.r", "t.c").agg(F.sum("t.v").alias("v")).collect()
-    size = pairs.select(F.explode(F.array(F.col("i").cast("int"), F.col("j").cast("int"))).alias("k"), "n").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    names = sorted(r["k"] for r in size)
+    names = sorted({r["r"] for r in rows})
     at = {k: i for i, k in enumerate(names)}
     A, y = np.zeros((len(names), len(names))), np.zeros(len(names))
     for r in rows:
         A[at[r["r"]], at[r["c"]]] += r["v"]
-    for r in size:
-        A[at[r["k"]], at[r["k"]]] += r["n"] / sigma_g**2
-        y[at[r["k"]]] = r["n"] / sigma_g**2
+    A[np.diag_indices(len(names))] += 1 / sigma_g**2  # once for each photo, however many matches it has
+    y += 1 / sigma_g**2
     gain = np.clip(np.linalg.solve(A, y), 0.5, 2.0) if names else []
     return pairs.sparkSession.createDataFrame([(int(k), float(g)) for k, g in zip(names, gain, strict=True)], "image_id int, gain double")
 
 
-def solve_offsets(pairs: DataFrame, huber_k: float = 1.345, rounds: int = 10, prior: float = 1e-3) -> DataFrame:
-    """(image_id, offset): additive drift from the mean differences of pairs (i, j, n, d = value i - value j), robust, mean zero.
+def solve_offsets(ties: DataFrame, prior: float = 8.0, most: float = 32.0, rounds: int = 10) -> DataFrame:
+    """(image_id, offset): additive drift between photos from tie points (i, j, vi, vj): vi + offset i = vj + offset j, robust, mean zero, bounded.
 
-    One row per pair and round is enough, so the reweighting runs on the driver over the reduced pairs.
+    Each round weighs every tie point by its residual (Huber, 1.5 times the median residual, at least half a level) and sums the normal equations by pair in
+    Spark; the driver solves one row per photo, with a weak prior and the sum of all offsets held at zero.
     """
-    rows = pairs.select(F.col("i").cast("int"), F.col("j").cast("int"), F.col("n").cast("double"), F.col("d").cast("double")).collect()
-    names = sorted({r[0] for r in rows} | {r[1] for r in rows})
-    at = {k: i for i, k in enumerate(names)}
-    o, w = np.zeros(len(names)), np.ones(len(rows))
-    for _ in range(rounds):
-        A, y = np.eye(len(names)) * prior, np.zeros(len(names))
-        for r, x in zip(rows, w, strict=True):
-            i, j, n, d = at[r[0]], at[r[1]], r[2] * x, r[3]
-            A[i, i] += n
-            A[j, j] += n
-            A[i, j] -= n
-            A[j, i] -= n
-            y[i] += n * d
-            y[j] -= n * d
+    spark = ties.sparkSession
+    ties = cut(ties.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), (F.col("vj") - F.col("vi")).cast("double").alias("m")))
+    names = sorted(r["k"] for r in ties.select(F.explode(F.array("i", "j")).alias("k")).distinct().collect())  # one row per photo
+    at, o = {k: n for n, k in enumerate(names)}, np.zeros(len(names))
+    weighed = ties.withColumn("w", F.lit(1.0))
+    for _ in range(rounds if names else 0):
+        A, y = np.eye(len(names)) / prior**2 + 1.0, np.zeros(len(names))
+        for r in weighed.groupBy("i", "j").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("m")).alias("wm")).collect():  # one row per pair of photos
+            i, j = at[r["i"]], at[r["j"]]
+            A[i, i] += r["w"]
+            A[j, j] += r["w"]
+            A[i, j] -= r["w"]
+            A[j, i] -= r["w"]
+            y[i] += r["wm"]
+            y[j] -= r["wm"]
         o = np.linalg.solve(A, y)
-        res = np.array([o[at[r[0]]] - o[at[r[1]]] - r[3] for r in rows])
-        scale = max(1e-9, 1.4826 * float(np.median(np.abs(res))))
-        w = np.minimum(1.0, huber_k * scale / np.maximum(np.abs(res), 1e-12))
-    o = o - o.mean() if len(o) else o
-    return pairs.sparkSession.createDataFrame([(int(k), float(x)) for k, x in zip(names, o, strict=True)], "image_id int, offset double")
+        known = spark.createDataFrame([(k, float(x)) for k, x in zip(names, o, strict=True)], "k int, o double")
+        left, right = known.select(F.col("k").alias("i"), F.col("o").alias("oi")), known.select(F.col("k").alias("j"), F.col("o").alias("oj"))
+        res = ties.join(F.broadcast(left), "i").join(F.broadcast(right), "j").withColumn("r", F.abs(F.col("oi") - F.col("oj") - F.col("m")))  # one row per photo
+        k = 1.5 * max(res.agg(F.median("r")).first()[0], 0.5)
+        weighed = res.withColumn("w", F.least(F.lit(1.0), F.lit(k) / F.greatest("r", F.lit(1e-9))))
+    o = np.clip(o - o.mean(), -most, most) if names else o
+    return spark.createDataFrame([(int(k), float(x)) for k, x in zip(names, o, strict=True)], "image_id int, offset double")
+
+
+def solve_gain_offset(ties: DataFrame, sigma_n: float = 10.0, gain_prior: float = 0.2, offset_prior: float = 8.0, most_gain: float = 2.0, most_offset: float = 48.0) -> DataFrame:
+    """(image_id, gain, offset) of one channel from tie points (i, j, vi, vj): gain i * vi + offset i = gain j * vj + offset j.
+
+    Moments are summed by pair in Spark; the driver solves two rows per photo, held near (1, 0), then sets the mean gain to 1 and the mean offset to 0.
+    """
+    a, b = F.col("vi").cast("double"), F.col("vj").cast("double")
+    by = ties.groupBy(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"))
+    moments = by.agg(F.count("*").alias("n"), F.sum(a).alias("a"), F.sum(b).alias("b"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"), F.sum(a * b).alias("ab")).collect()  # one row per pair
+    names = sorted({r[c] for r in moments for c in ("i", "j")})
+    place, n = {k: 2 * x for x, k in enumerate(names)}, 2 * len(names)
+    A, y = np.zeros((n, n)), np.zeros(n)
+    A[range(0, n, 2), range(0, n, 2)] = y[0::2] = 1 / gain_prior**2
+    A[range(1, n, 2), range(1, n, 2)] = 1 / offset_prior**2
+    for r in moments:
+        i, j = place[r["i"]], place[r["j"]]
+        at = np.array([i, i + 1, j, j + 1])
+        A[np.ix_(at, at)] += np.array([[r["aa"], r["a"], -r["ab"], -r["a"]], [r["a"], r["n"], -r["b"], -r["n"]], [-r["ab"], -r["b"], r["bb"], r["b"]], [-r["a"], -r["n"], r["b"], r["n"]]]) / sigma_n**2
+    x = np.linalg.solve(A + 1e-6 * np.eye(n), y) if n else y
+    gain, offset = x[0::2], x[1::2]
+    if n and gain.mean() > 1e-3:
+        gain, offset = gain / gain.mean(), offset / gain.mean()
+    offset = offset - offset.mean() if n else offset
+    rows = zip(names, np.clip(gain, 1 / most_gain, most_gain).tolist(), np.clip(offset, -most_offset, most_offset).tolist(), strict=True)
+    return ties.sparkSession.createDataFrame([(int(k), g, o) for k, g, o in rows], "image_id int, gain double, offset double")

@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` with its place (from 1) by a column without ties: ranges are sorted on their own, and only the sizes of ranges meet in one place."""
+    own = F.monotonically_increasing_id()
+    ranges = cut(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", own))  # cut: another sample would give other ranges
+    ranges = ranges.withColumn("__range", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = ranges.groupBy("__range").agg(F.count("*").alias("n"))
+    before = sizes.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("__before"))  # one row per range
+    return ranges.join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__range", "__at", "__before")
+
 
 def cells_around(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
     """Nine rows for each row: its own cell and the eight around it, as ``gx``, ``gy``."""
@@ -60,7 +72,7 @@ def capture_pairs(frames: DataFrame, k: int, all_below: int = 40) -> DataFrame:
     """Pairs without positions: all of them for few frames, else a window of k in capture order (``id``)."""
     n = frames.count()
     reach = n - 1 if n <= all_below else k
-    df = frames.withColumn("at", F.row_number().over(Window.orderBy("id")))  # a survey's frames: one small table
+    df = numbered(frames, "id", "at")
     ahead = df.select(F.col("id").alias("i"), F.explode(F.sequence(F.col("at") + 1, F.col("at") + max(1, reach))).alias("at"))
     return ahead.join(df.select(F.col("id").alias("j"), "at"), "at").select("i", "j")
 

@@ -271,7 +271,7 @@ def reprojection_residuals(spark, sf_dir):
 def kept_observations(spark, sf_dir):
     o = view(spark, sf_dir, "observations").select("cam_id", "pt_id")
     few = o.groupBy("pt_id").agg(F.count_distinct("cam_id").alias("n")).where("n >= 4")
-    number = few.withColumn("point", F.dense_rank().over(Window.orderBy("pt_id")) - 1).select("pt_id", "point")
+    number = S.numbered(few, "pt_id", "point").select("pt_id", (F.col("point") - 1).cast("int").alias("point"))
     return o.join(number, "pt_id").select("cam_id", "pt_id", "point")
 
 
@@ -298,10 +298,18 @@ def gains(spark, sf_dir):
     return B.solve_gains(_pair_means(spark, sf_dir)).withColumn("gain", F.round("gain", 6))
 
 
+def _ties(spark, sf_dir):
+    return view(spark, sf_dir, "pair_matches").select("i", "j", F.col("ci").alias("vi"), F.col("cj").alias("vj"))
+
+
 @query()
 def thermal_offsets(spark, sf_dir):
-    p = _pair_means(spark, sf_dir).select("i", "j", "n", (F.col("mi") - F.col("mj")).alias("d"))
-    return B.solve_offsets(p).withColumn("offset", F.round("offset", 6))
+    return B.solve_offsets(_ties(spark, sf_dir)).withColumn("offset", F.round("offset", 6))
+
+
+@query()
+def gain_offset(spark, sf_dir):
+    return B.solve_gain_offset(_ties(spark, sf_dir)).withColumn("gain", F.round("gain", 6)).withColumn("offset", F.round("offset", 6))
 
 
 _AFF = f"with {ctes('pair_matches')}, m as (select i, j, xi as x, yi as y, xi*1.01e0+yi*0.02e0+ci as p, yi*0.99e0-xi*0.03e0+cj as q from pair_matches)"

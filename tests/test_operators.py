@@ -112,11 +112,77 @@ def test_gains_recover_planted_exposure(spark):
     assert abs(got[1] / got[0] - 1.1) < 0.02 and abs(got[2] / got[0] - 0.9) < 0.02
 
 
+def test_gains_against_the_normal_equations(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), int(j), int(rng.integers(5, 900)), float(rng.uniform(20, 200)), float(rng.uniform(20, 200))) for i, j in [(0, 1), (1, 2), (0, 3), (2, 3), (3, 4)]]
+    A, y = np.eye(5) / 0.01, np.full(5, 1 / 0.01)
+    for i, j, n, a, b in rows:
+        A[i, i] += n / 100 * a * a
+        A[j, j] += n / 100 * b * b
+        A[i, j] -= n / 100 * a * b
+        A[j, i] -= n / 100 * a * b
+    got = {r.image_id: r.gain for r in B.solve_gains(spark.createDataFrame(rows, "i int, j int, n long, mi double, mj double")).collect()}
+    assert np.allclose([got[k] for k in range(5)], np.clip(np.linalg.solve(A, y), 0.5, 2))
+
+
 def test_offsets_recover_planted_drift(spark):
-    drift = [3.0, -1.0, 2.0, -4.0]
-    rows = [(i, j, 100, drift[i] - drift[j]) for i in range(4) for j in range(i + 1, 4)]
-    got = [r.offset for r in B.solve_offsets(spark.createDataFrame(rows, "i int, j int, n long, d double")).orderBy("image_id").collect()]
-    assert np.allclose(got, np.array(drift) - np.mean(drift), atol=0.02)
+    """Against rounds over single tie points; some are wild."""
+    rng, o = np.random.default_rng(4), np.array([0.0, 6.0, -4.0, 2.0, -4.0])
+    i = rng.integers(0, 4, 400)
+    j = i + 1 + rng.integers(0, 4 - i)
+    v = rng.uniform(50, 200, 400)
+    vi, vj = v - o[i], v - o[j] + rng.normal(0, 0.3, 400) + np.where(rng.random(400) < 0.1, 60, 0)
+    got = {r.image_id: r.offset for r in B.solve_offsets(spark.createDataFrame([(int(a), int(b), float(x), float(y)) for a, b, x, y in zip(i, j, vi, vj)], "i int, j int, vi double, vj double")).collect()}
+    x, w, m = np.zeros(5), np.ones(400), vj - vi
+    for _ in range(10):
+        A, y = np.eye(5) / 64 + 1, np.zeros(5)
+        for a, b, ww, mm in zip(i, j, w, m):
+            e = np.zeros(5)
+            e[a], e[b] = 1, -1
+            A += ww * np.outer(e, e)
+            y += ww * mm * e
+        x = np.linalg.solve(A, y)
+        r = np.abs(x[i] - x[j] - m)
+        w = np.minimum(1, 1.5 * max(np.median(r), 0.5) / np.maximum(r, 1e-9))
+    assert np.allclose([got[k] for k in range(5)], x - x.mean()) and np.abs(x - x.mean() - o).max() < 0.5
+
+
+def test_gain_and_offset_against_single_points(spark):
+    rng = np.random.default_rng(5)
+    i, j = rng.integers(0, 3, 300), rng.integers(0, 3, 300)
+    i, j = i[i != j], j[i != j]
+    vi, vj = rng.uniform(20, 200, len(i)), rng.uniform(20, 200, len(i))
+    A, y = np.diag([25.0, 1 / 64] * 3) + 1e-6 * np.eye(6), np.array([25.0, 0] * 3)
+    for a, b, p, q in zip(i, j, vi, vj):
+        e = np.zeros(6)
+        e[2 * a], e[2 * a + 1] = p, 1
+        e[2 * b], e[2 * b + 1] = -q, -1
+        A += np.outer(e, e) / 100
+    x = np.linalg.solve(A, y)
+    gain, offset = x[0::2] / x[0::2].mean(), x[1::2] / x[0::2].mean()
+    got = sorted(B.solve_gain_offset(spark.createDataFrame([(int(a), int(b), float(p), float(q)) for a, b, p, q in zip(i, j, vi, vj)], "i int, j int, vi double, vj double")).collect())
+    assert np.allclose([r.gain for r in got], np.clip(gain, 0.5, 2)) and np.allclose([r.offset for r in got], np.clip(offset - offset.mean(), -48, 48))
+
+
+def test_places_without_one_task(spark):
+    from aeroquilt.operators.spatial import numbered
+
+    got = numbered(spark.range(0, 3000, 3).repartition(7), "id", "at").collect()
+    assert len(got) == 1000 and all(r.at == r.id // 3 + 1 for r in got)
+
+
+def test_hull_against_supporting_lines():
+    from aeroquilt.operators.survey import hull
+
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 5, 40):
+        for _ in range(30):
+            pts = [tuple(map(float, p)) for p in rng.integers(0, 7, (n, 2))]
+            ring = hull(pts)
+            if len({p[0] for p in pts}) > 1 and len(ring) > 2:
+                for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1]):
+                    assert all((x1 - x0) * (y - y0) >= (y1 - y0) * (x - x0) for x, y in pts)
+            assert set(ring) <= set(pts) and len(set(ring)) == len(ring)
 
 
 def test_palettes(spark):
