@@ -222,7 +222,7 @@ class Encoder:
         slot = self.pool.find(h[one])
         if self.pool.held + int((slot < 0).sum()) > self.pool.most:
             if len(one) > self.pool.most:  # a batch with more distinct words than the table holds
-                self.pool = Pool(self.pool.bits + 2)
+                self.pool = Pool(len(one).bit_length() + 1)
             self.pool.clear()
             slot[:] = -1
         miss = np.flatnonzero(slot < 0)

@@ -41,7 +41,7 @@ def test_warc_repeated_rows_keep_their_number(spark, tmp_path):
 
 def test_warc_is_read_by_ranges(spark, tmp_path):
     rng = np.random.default_rng(8)
-    rows = [(i, "u", "".join(rng.choice(list("ab\r\nW"), int(rng.integers(0, 400)))) + "\r\n\r\nWARC/1.1\r\n" * (i % 3), None) for i in range(600)]
+    rows = [(i, "u", "".join(rng.choice(list("ab\r\nW"), int(rng.integers(0, 400)))) + "\r\n\r\nWARC/1.1\r\n" * (i % 3), None) for i in range(120)]
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
     try:
