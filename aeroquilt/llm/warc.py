@@ -1,7 +1,8 @@
 """WARC archives with revisit records for repeated payloads.
 
 Headers alone (page, URL, date, digest, length) are shuffled by payload digest and pre-aggregated to the response of each digest; a digest that
-many pages share is joined in several tasks.  Revisit records are made from headers.  Payloads move once, to meet the headers of the responses.
+many pages share is joined in several tasks.  Revisit records are made from headers.  Payloads move once, to meet the headers of the responses, and
+in slices by a hash of the header, one after the other: beside the archives, shuffle files hold one slice of the payloads at a time.
 Archives are plain WARC/1.1 files written by Spark's text writer, whose line separator is the blank line that ends a record, so they
 reach any file system that Spark reaches.  Every record's first header holds a token drawn for the archive; with the version line
 before it, it separates records when the archives are read back, which Spark does by ranges of bytes: no archive has to fit into a value or a task.
@@ -60,13 +61,14 @@ def resolve_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     best = large.groupBy("payload_digest").agg(F.max(F.struct(*_HEAD)).alias("best"), F.count("*").alias("heads"))
     large = join_unique(large, best, "payload_digest", "heads", _HEAD, "inner").withColumn("responses", F.when(F.struct(*_HEAD) == F.col("best"), 1).otherwise(0))
     every = large.unionByName(heads.where(F.col("payload_bytes") < min_bytes).withColumn("best", F.lit(None).cast(best.schema["best"].dataType)).withColumn("responses", F.col("n").cast("int")))
+    every = materialise(every, "warc-decided")  # each slice of the archives reads it
     again = every.where(F.col("n") > F.col("responses")).withColumn("nth", F.explode(F.sequence(F.col("responses"), (F.col("n") - 1).cast("int"))))
     again = again.select(*_HEAD, "nth", "payload_digest", "payload_bytes", F.lit("revisit").alias("record_type"), F.lit(None).cast("string").alias("payload"), F.col("best").alias("refers_to"))
-    wanted = every.where("responses > 0").select(*[F.col(c).alias(f"__{c}") for c in (*_HEAD, "payload_digest")], "responses")
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*_HEAD, "payload_digest")]
-    whole = keyed.join(wanted, same[0] & same[1] & same[2] & same[3])
-    whole = whole.withColumn("nth", F.row_number().over(Window.partitionBy(*_HEAD, "payload_digest").orderBy("payload_bytes")) - 1).where("nth < responses")
-    whole = whole.select(*_HEAD, "nth", "payload_digest", "payload_bytes", F.lit("response").alias("record_type"), "payload", F.lit(None).cast(best.schema["best"].dataType).alias("refers_to"))
+    # One struct is the key of the join and of the window, nulls equal: the window finds the payloads where the join left them.
+    wanted = every.where("responses > 0").select(F.struct(*_HEAD, "payload_digest").alias("__head"), "responses")
+    whole = keyed.select(F.struct(*_HEAD, "payload_digest").alias("__head"), "payload_bytes", "payload").join(wanted, "__head")
+    whole = whole.withColumn("nth", F.row_number().over(Window.partitionBy("__head").orderBy("payload_bytes")) - 1).where("nth < responses")
+    whole = whole.select("__head.*", "nth", "payload_bytes", F.lit("response").alias("record_type"), "payload", F.lit(None).cast(best.schema["best"].dataType).alias("refers_to"))
     return whole.unionByName(again)
 
 
@@ -76,10 +78,15 @@ def record_id(head: list[Column], nth: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-4"), part(14, 3), F.lit("-a"), part(18, 3), F.lit("-"), part(21, 12), F.lit(">"))
 
 
-def write_archives(resolved: DataFrame, path: str, date: str | None = None, per_file: int = 20_000) -> str:
+def sliced(resolved: DataFrame, at: int, slices: int) -> DataFrame:
+    """Rows whose head falls into slice ``at``; the filter reaches ``pages``, so only these rows are digested and shuffled."""
+    return resolved.where(F.pmod(F.xxhash64(*_HEAD), F.lit(slices)) == at)
+
+
+def write_archives(resolved: DataFrame, path: str, date: str | None = None, per_file: int = 20_000, slices: int = 4) -> str:
     """One record per row: a response with its payload, or a revisit that carries the HTTP header only and names its response.  Returns the token.
 
-    ``date``: the capture date of pages without one; by default the time of writing.
+    ``date``: the capture date of pages without one; by default the time of writing.  ``slices``: parts written one after the other.
     """
     token = uuid.uuid4().hex
     unknown = F.lit(date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
@@ -95,8 +102,10 @@ def write_archives(resolved: DataFrame, path: str, date: str | None = None, per_
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
         (F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("payload_bytes"))).cast("string"), F.lit("\r\n\r\n"),
     )
+    record = F.concat(head, http, F.coalesce("payload", F.lit(""))).alias("value")
     with shuffles_cleaned(resolved.sparkSession):
-        resolved.select(F.concat(head, http, F.coalesce("payload", F.lit(""))).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
+        for at in range(slices):
+            sliced(resolved, at, slices).select(record).write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
     return token
 
 

@@ -56,6 +56,34 @@ def test_warc_small_payloads_are_responses(spark):
     assert sorted((r.page, r.nth, r.record_type) for r in warc.resolve_revisits(df, min_bytes=3).collect()) == [(1, 0, "response"), (2, 0, "response"), (2, 1, "response")]
 
 
+def payload_shuffles(df):
+    """Exchanges of payloads in the plan that Spark starts with."""
+
+    def found(plan):
+        below = [x for i in range(plan.children().length()) for x in found(plan.children().apply(i))]
+        return [plan.toString()] * (plan.nodeName() == "Exchange" and "payload#" in plan.output().mkString(" ")) + below
+
+    before = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    df.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return found(df._jdf.queryExecution().executedPlan().initialPlan())
+    finally:
+        df.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_warc_payloads_are_shuffled_once_and_by_slices(spark, tmp_path):
+    """The window over equal heads takes the payloads where the join has brought them, and a slice shuffles its own payloads only."""
+    rows = [(i if i % 5 else None, f"u{i % 3}", f"text {i % 7}") for i in range(60)] + [(7, "u1", "text 0")] * 3
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages")
+    resolved = warc.resolve_revisits(spark.read.parquet(f"{tmp_path}/pages"))
+    assert len(payload_shuffles(resolved)) == 1
+    (shuffle,) = payload_shuffles(warc.sliced(resolved, 1, 4))
+    assert "pmod(xxhash64(page_id" in shuffle.split("FileScan")[0]
+    key = lambda r: (r.page, r.url, r.nth, r.payload_digest, r.record_type, r.payload)
+    parts = [sorted(map(key, warc.sliced(resolved, k, 4).collect()), key=str) for k in range(4)]
+    assert sorted(sum(parts, []), key=str) == sorted(map(key, resolved.collect()), key=str) and len(sum(parts, [])) == len(rows) and max(map(len, parts)) < len(rows)
+
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
