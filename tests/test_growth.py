@@ -53,3 +53,13 @@ def test_product_join_gives_every_pair_once(spark):
     many = spark.createDataFrame([(i, i % 3) for i in range(50)] * 2, "b int, k int")
     got = sorted(map(tuple, S.product_join(few, many, "k", "b").select("a", "b").collect()))
     assert got == sorted((a, b) for a in range(7) for b in [*range(50)] * 2 if a % 2 == b % 3)
+
+
+def test_tiles_are_those_of_the_statements_grid(spark, tmp_path):
+    """Photos of a very long survey lie beyond the last column of tiles."""
+    duck = duckdb.connect()
+    duck.execute("create table customer as select range * 7919 as c_custkey, 1 as c_nationkey from range(120)")
+    duck.execute(f"copy customer to '{tmp_path}/customer.parquet'")
+    want = duck.sql(catalogue.SQL["tile_overlap_join"]).fetchall()
+    got = catalogue.QUERIES["tile_overlap_join"](spark, str(tmp_path)).select("ty", "tx", "id").collect()
+    assert len(want) > 100 and max(r[1] for r in want) > 3900 and sorted(map(tuple, got)) == sorted(want)
