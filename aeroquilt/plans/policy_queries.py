@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import camera as C
+from ..functions.rounding import rounded
 from ..operators import blocks as B
 from ..operators import raster as R
 from ..operators import survey as S
@@ -55,7 +56,7 @@ def luminance(spark, sf_dir):
 
 @query(f"with {ctes('observations')} select cam_id, pt_id, round(greatest(least(u+0.5e0, v+0.5e0, 1200-u-0.5e0, 900-v-0.5e0)/450e0, 0), 6) as w from observations")
 def border_weight(spark, sf_dir):
-    return view(spark, sf_dir, "observations").select("cam_id", "pt_id", F.round(S.border_weight(F.col("u"), F.col("v"), F.lit(1200), F.lit(900)), 6).alias("w"))
+    return view(spark, sf_dir, "observations").select("cam_id", "pt_id", rounded(S.border_weight(F.col("u"), F.col("v"), F.lit(1200), F.lit(900)), 6).alias("w"))
 
 
 @query(f"{_SEEN}, l as (select quantile_cont(z, 0.005) as low from world_points), g as (select cam_id, count(*) as n, quantile_cont(depth, 0.01) as lo, quantile_cont(depth, 0.99) as hi, min(cz) as cz from seen group by cam_id having count(*) >= 10), h as (select cam_id, lo, greatest(hi, cz - low) as hi from g, l) select cam_id, round(greatest(0.3e0*lo, lo-0.2e0*(hi-lo)-1), 5) as near, round(hi+0.2e0*(hi-lo)+2, 5) as far from h")

@@ -63,3 +63,16 @@ def test_tiles_are_those_of_the_statements_grid(spark, tmp_path):
     want = duck.sql(catalogue.SQL["tile_overlap_join"]).fetchall()
     got = catalogue.QUERIES["tile_overlap_join"](spark, str(tmp_path)).select("ty", "tx", "id").collect()
     assert len(want) > 100 and max(r[1] for r in want) > 3900 and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_observations_are_dealt_to_many_tasks_and_projected_once(spark, duck):
+    df = fixtures.view(spark, DATA, "observations")
+    assert plan(df).lower().count("cos(") == 1  # 54 before: each condition on u or v held all of the projection
+    assert df.rdd.getNumPartitions() >= 16  # one before
+    want = duck.sql(f"with {fixtures.ctes('observations')} select cam_id, pt_id, u, v from observations").fetchall()
+    assert len(want) > 200 and sorted(map(tuple, df.select("cam_id", "pt_id", "u", "v").collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["kept_observations", "undistort", "covisibility_topk", "border_weight", "depth_range", "reprojection_residuals", "room_cap", "block_statistics", "depth_band", "marks_on_geometry", "rolling_shutter"])
+def test_queries_over_observations(spark, duck, name):
+    assert same(spark, duck, name)
