@@ -35,13 +35,22 @@ def radial(r2: Column, k1: Column, k2: Column, k3: Column) -> Column:
     return 1 + r2 * (k1 + r2 * (k2 + r2 * k3))
 
 
-def project(R: list[list[Column]], C: list[Column], X: list[Column], f: Column, k: list[Column], pp: list[Column]) -> tuple[Column, Column, Column]:
-    """(u, v, depth) of a world point."""
+def normalised(R: list[list[Column]], C: list[Column], X: list[Column]) -> tuple[Column, Column, Column]:
+    """(nx, ny, depth) of a world point, without lens."""
     d = [x - c for x, c in zip(X, C, strict=True)]
     x, y, z = (r[0] * d[0] + r[1] * d[1] + r[2] * d[2] for r in R)
-    nx, ny = F.try_divide(x, z), F.try_divide(y, z)
+    return F.try_divide(x, z), F.try_divide(y, z), z
+
+
+def pixels(nx: Column, ny: Column, f: Column, k: list[Column], pp: list[Column]) -> tuple[Column, Column]:
     scale = f * radial(nx * nx + ny * ny, *k)
-    return scale * nx + pp[0], scale * ny + pp[1], z
+    return scale * nx + pp[0], scale * ny + pp[1]
+
+
+def project(R: list[list[Column]], C: list[Column], X: list[Column], f: Column, k: list[Column], pp: list[Column]) -> tuple[Column, Column, Column]:
+    """(u, v, depth) of a world point."""
+    nx, ny, z = normalised(R, C, X)
+    return *pixels(nx, ny, f, k, pp), z
 
 
 def undistort_step(n: tuple[str, str], d: tuple[Column, Column], k: list[Column]) -> tuple[Column, Column]:

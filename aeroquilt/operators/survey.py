@@ -210,11 +210,12 @@ def rolling_shift(observations: DataFrame) -> DataFrame:
     col = F.col
     t = (col("v") / col("height") - 0.5) * col("readout")
     centre, moved = [col(c) for c in ("cx", "cy", "cz")], [col(c) + col(v) * t for c, v in (("cx", "vx"), ("cy", "vy"), ("cz", "vz"))]
-    args = [col(c) for c in ("wx", "wy", "wz")], col("f"), [col("k1"), col("k2"), col("k3")], [col("ppx"), col("ppy")]
-    u0, v0, _ = C.project(C.nadir_rotation(col("yaw")), centre, *args)
-    u1, v1, _ = C.project(C.nadir_rotation(col("yaw")), moved, *args)
+    X, turned = [col(c) for c in ("wx", "wy", "wz")], C.nadir_rotation(col("yaw"))
+    at = {f"__{c}{k}": n for k, place in enumerate((centre, moved)) for c, n in zip("xy", C.normalised(turned, place, X), strict=False)}
+    df = observations.withColumns(at)  # columns of their own: inside when() a shared part of an expression is computed at each mention
+    u0, v0, u1, v1 = [p for k in (0, 1) for p in C.pixels(col(f"__x{k}"), col(f"__y{k}"), col("f"), [col("k1"), col("k2"), col("k3")], [col("ppx"), col("ppy")])]
     keep = F.coalesce(col("mechanical"), F.lit(False))
-    return observations.withColumn("su", F.when(keep, 0.0).otherwise(u0 - u1)).withColumn("sv", F.when(keep, 0.0).otherwise(v0 - v1))
+    return df.withColumn("su", F.when(keep, 0.0).otherwise(u0 - u1)).withColumn("sv", F.when(keep, 0.0).otherwise(v0 - v1)).drop(*at)
 
 
 def cloud_classes(points: DataFrame, surface: DataFrame, gsd: float, below: float = 1.0) -> DataFrame:

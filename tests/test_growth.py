@@ -76,3 +76,7 @@ def test_observations_are_dealt_to_many_tasks_and_projected_once(spark, duck):
 @pytest.mark.parametrize("name", ["kept_observations", "undistort", "covisibility_topk", "border_weight", "depth_range", "reprojection_residuals", "room_cap", "block_statistics", "depth_band", "marks_on_geometry", "rolling_shutter"])
 def test_queries_over_observations(spark, duck, name):
     assert same(spark, duck, name)
+
+
+def test_rolling_shutter_projects_once(spark, duck):
+    assert plan(catalogue.QUERIES["rolling_shutter"](spark, DATA)).lower().count("cos(") < 8  # 80 before
