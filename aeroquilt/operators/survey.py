@@ -3,29 +3,52 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import camera as C
 from . import raster as R
 from .raster import box_edge, box_zero, gradient
+from .spatial import radius_join, spread
 
 
 def lens_limit(cameras: DataFrame, steps: int = 8000) -> DataFrame:
     """``r2max``: squared undistorted radius of the farthest corner on the rising branch of the lens polynomial, a hundredth to spare.
 
-    The polynomial is sampled by two folds over one row, nothing is exploded.
+    The polynomial is sampled in NumPy, a few lenses at a time and each lens of a batch once; cameras are dealt to many tasks, as their rows are few for the work.
     """
     rd = F.hypot(F.greatest(F.col("ppx"), F.col("width") - 1 - F.col("ppx")), F.greatest(F.col("ppy"), F.col("height") - 1 - F.col("ppy"))) / F.col("f")
-    df = cameras.withColumn("__rd", rd).withColumn("__step", (4 * F.col("__rd") + 1) / steps)
-    at = lambda i: i * F.col("__step")
-    bent = lambda i: at(i) * C.radial(at(i) * at(i), F.col("k1"), F.col("k2"), F.col("k3"))
-    df = df.withColumn("__d", F.transform(F.sequence(F.lit(0), F.lit(steps)), bent))
-    fold = F.array_position(F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: F.get("__d", i) <= F.get("__d", i - 1)), True)
-    df = df.withColumn("__stop", F.when(fold > 0, fold - 1).otherwise(steps).cast("int"))
-    reach = F.array_position(F.transform(F.slice("__d", 1, F.col("__stop") + 1), lambda v: v >= F.col("__rd")), True)
-    limit = F.when(reach > 0, F.least(at(reach - 1) * 1.01, at(F.col("__stop")))).otherwise(at(F.col("__stop")))
-    return df.withColumn("r2max", limit * limit).drop("__rd", "__step", "__d", "__stop")
+    given = {"__rd": rd} | {f"__{k}": F.col(k) for k in ("k1", "k2", "k3")}
+    df, names = spread(cameras).withColumns({c: v.cast("double") for c, v in given.items()}), list(given)
+
+    def limits(lens: np.ndarray) -> np.ndarray:
+        """r2max for rows rd, k1, k2, k3: the polynomial at ``steps`` even places, up to where it turns."""
+        rd, k1, k2, k3 = lens.T[:, :, None]
+        step = (4 * rd + 1) / steps
+        at = np.arange(steps + 1) * step
+        r2 = at * at
+        d = at * (1 + r2 * (k1 + r2 * (k2 + r2 * k3)))
+        fold = ~(d[:, 1:] > d[:, :-1])
+        stop = np.where(fold.any(axis=1), fold.argmax(axis=1), steps)
+        reach = ~(d < rd) & (np.arange(steps + 1) <= stop[:, None])
+        last = stop * step[:, 0]
+        limit = np.where(reach.any(axis=1), np.fmin(reach.argmax(axis=1) * step[:, 0] * 1.01, last), last)
+        return limit * limit
+
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            lens, null = np.empty((table.num_rows, 4)), np.zeros(table.num_rows, bool)
+            for k, c in enumerate(names):
+                null |= table.column(c).is_null().to_numpy()
+                lens[:, k] = table.column(c).fill_null(0.0).to_numpy()
+            each, which = np.unique(lens, axis=0, return_inverse=True)
+            r2 = np.concatenate([limits(each[k : k + 32]) for k in range(0, len(each), 32)]) if len(each) else np.empty(0)
+            yield from table.drop_columns(names).append_column("r2max", pa.array(r2[which.ravel()], pa.float64(), mask=null)).to_batches()
+
+    return df.mapInArrow(run, StructType([*cameras.schema.fields, StructField("r2max", DoubleType())]))
 
 
 def outside_lens(x: Column, y: Column, z: Column, r2max: Column) -> Column:
@@ -185,8 +208,6 @@ def room_cap(candidates: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
 
 def tile_views(tiles: DataFrame, cameras: DataFrame, half: float, most: int) -> DataFrame:
     """(tile, cam_id, rank): the nearest cameras whose square footprint holds a tile's four corners."""
-    from .spatial import radius_join
-
     t = tiles.withColumn("qx", (F.col("x0") + F.col("x1")) / 2).withColumn("qy", (F.col("y0") + F.col("y1")) / 2)
     c = cameras.select("cam_id", F.col("cx").alias("px"), F.col("cy").alias("py"))
     near = radius_join(t, c, 1.5 * half)

@@ -80,3 +80,26 @@ def test_queries_over_observations(spark, duck, name):
 
 def test_rolling_shutter_projects_once(spark, duck):
     assert plan(catalogue.QUERIES["rolling_shutter"](spark, DATA)).lower().count("cos(") < 8  # 80 before
+
+
+def test_lens_limit_in_many_tasks_against_folds(spark):
+    """Against the sampled polynomial written as a loop; a null has no limit."""
+    from aeroquilt.operators.survey import lens_limit
+
+    rng, steps = np.random.default_rng(8), 500
+    lenses = [(k, 1200, 900, 1150.0, float(a), float(b), float(c), 599.5, 440.0) for k, (a, b, c) in enumerate(rng.normal(0, 0.2, (60, 3)))] + [(98, 1200, 900, 1150.0, 0.0, 0.0, 0.0, 599.5, 440.0), (99, 1200, 900, 1150.0, None, 0.0, 0.0, 599.5, 440.0)]
+    cams = spark.createDataFrame(lenses, "cam_id int, width int, height int, f double, k1 double, k2 double, k3 double, ppx double, ppy double").coalesce(1)
+    df = lens_limit(cams, steps)
+    assert df.rdd.getNumPartitions() >= 16  # one before
+    got = {r.cam_id: r.r2max for r in df.collect()}
+    for cam, w, h, f, k1, k2, k3, px, py in lenses:
+        if k1 is None:
+            assert got[cam] is None
+            continue
+        rd = np.hypot(max(px, w - 1 - px), max(py, h - 1 - py)) / f
+        step, stop = (4 * rd + 1) / steps, steps
+        d = [i * step * (1 + (i * step) ** 2 * (k1 + (i * step) ** 2 * (k2 + (i * step) ** 2 * k3))) for i in range(steps + 1)]
+        stop = next((i - 1 for i in range(1, steps + 1) if d[i] <= d[i - 1]), steps)
+        at = next((i for i in range(stop + 1) if d[i] >= rd), None)
+        limit = stop * step if at is None else min(at * step * 1.01, stop * step)
+        assert abs(got[cam] - limit**2) < 1e-9 * (1 + limit**2)
