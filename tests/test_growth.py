@@ -103,3 +103,26 @@ def test_lens_limit_in_many_tasks_against_folds(spark):
         at = next((i for i in range(stop + 1) if d[i] >= rd), None)
         limit = stop * step if at is None else min(at * step * 1.01, stop * step)
         assert abs(got[cam] - limit**2) < 1e-9 * (1 + limit**2)
+
+
+def test_descriptors_are_compared_in_blocks_without_a_table_of_pairs(spark, duck):
+    """Against all pairs, with blocks of three rows, ties and images without features."""
+    from aeroquilt.operators import matching as M
+
+    rng = np.random.default_rng(9)
+    feats = [(int(k), int(rng.integers(0, 3)), int(rng.choice([0, 1, 3, 7, -1, 1 << 62])), float(rng.integers(0, 9)), float(rng.integers(0, 9))) for k in rng.permutation(60)]
+    df = spark.createDataFrame(feats, "feat_id long, image_id int, dsc long, x double, y double")
+    for radius in (None, 3.0):
+        left = df.selectExpr("image_id as i", "image_id + 1 as j", "feat_id as a", "dsc as da", "x as qx", "y as qy")
+        right = df.selectExpr("image_id - 1 as i", "image_id as j", "feat_id as b", "dsc as db", "x as px", "y as py")
+        got = {(r.i, r.j, r.side, r.id): (r.ham, r.other, r.second) for r in M._nearest(left, right, ("i", "j"), radius, block=3).collect()}
+        want = {}
+        for k, i, d, x, y in feats:
+            for side, other in ((0, i + 1), (1, i - 1)):
+                near = sorted((bin((d ^ e) & (2**64 - 1)).count("1"), b) for b, j, e, p, q in feats if j == other and (radius is None or (x - p) ** 2 + (y - q) ** 2 <= radius**2))
+                if near:
+                    want[min(i, other), max(i, other), side, k] = (*near[0], near[1][0] if side == 0 and len(near) > 1 else None)
+        assert {k: v if k[2] == 0 else (*v[:2], None) for k, v in got.items()} == want
+    for name in ("hamming_best", "hamming_mutual", "hamming_ratio", "hamming_guided"):
+        assert "bit_count" not in plan(catalogue.QUERIES[name](spark, DATA))  # the distance of every pair was a row before
+        assert same(spark, duck, name)
