@@ -101,13 +101,21 @@ def median3(df: DataFrame, value: str = "z", out: str = "median") -> DataFrame:
 
 
 def city_block(df: DataFrame, mask: str, out: str = "distance") -> DataFrame:
-    """City-block distance to the nearest cell where ``mask`` holds: along rows, then the lower envelope along columns."""
+    """City-block distance to the nearest cell where ``mask`` holds: along rows, then the lower envelope along columns.
+
+    Frames run from the start of either order to the cell, since one that runs from the cell to the end is gone through anew for every cell.
+    """
+
+    def running(axis: str):
+        whole = Window.partitionBy("row" if axis == "col" else "col")
+        return [whole.orderBy(order).rowsBetween(Window.unboundedPreceding, 0) for order in (F.asc(axis), F.desc(axis))]
+
     at = F.when(F.col(mask), F.col("col"))
-    left = F.last(at, True).over(along("col").rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first(at, True).over(along("col").rowsBetween(0, Window.unboundedFollowing))
+    left, right = (F.last(at, True).over(w) for w in running("col"))
     df = df.withColumn("__h", F.least(F.col("col") - left, right - F.col("col")))
-    up = F.min(F.col("__h") - F.col("row")).over(along("row").rowsBetween(Window.unboundedPreceding, 0)) + F.col("row")
-    down = F.min(F.col("__h") + F.col("row")).over(along("row").rowsBetween(0, Window.unboundedFollowing)) - F.col("row")
+    before, after = running("row")
+    up = F.min(F.col("__h") - F.col("row")).over(before) + F.col("row")
+    down = F.min(F.col("__h") + F.col("row")).over(after) - F.col("row")
     return df.withColumn(out, F.least(up, down)).drop("__h")
 
 

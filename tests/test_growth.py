@@ -126,3 +126,10 @@ def test_descriptors_are_compared_in_blocks_without_a_table_of_pairs(spark, duck
     for name in ("hamming_best", "hamming_mutual", "hamming_ratio", "hamming_guided"):
         assert "bit_count" not in plan(catalogue.QUERIES[name](spark, DATA))  # the distance of every pair was a row before
         assert same(spark, duck, name)
+
+
+def test_near_mask_goes_over_a_column_once(spark, duck):
+    df = catalogue.QUERIES["near_mask"](spark, DATA)
+    assert "currentrow$(), unboundedfollowing$()" not in plan(df)  # gone through anew for every cell: the square of a column's length
+    assert "unboundedpreceding$(), currentrow$()" in plan(df)
+    assert same(spark, duck, "near_mask")
