@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..operators import raster as R
 from ..operators import terrain as T
+from ..operators.spatial import spread
 from .fixtures import ctes, view
 
 GSD = 0.5
@@ -251,9 +253,9 @@ def edge_aware_resample(spark, sf_dir):
     m as (select s.*, coalesce(c.z > s.z + a*(cz-s.z) + 0.5e0, false) as hid from s left join cells c on c.row = floor((y+a*(cy-y))/1.25e0) and c.col = floor((x+a*(cx-x))/1.25e0))
     select cam_id, row, col, not bool_or(hid) as visible from m group by 1, 2, 3""")
 def visibility(spark, sf_dir):
-    surface = view(spark, sf_dir, "cells")
-    cams = view(spark, sf_dir, "cameras").select("cam_id", "cx", "cy", (F.col("cz") - 10).alias("cz"))
-    targets = cams.crossJoin(F.broadcast(surface))  # at most 20 x 40 cells, at every scale
+    surface = cut(view(spark, sf_dir, "cells"))
+    cams = view(spark, sf_dir, "cameras").select("cam_id", "cx", "cy", (F.col("cz") - 10).alias("cz")).distinct()
+    targets = spread(cams).crossJoin(F.broadcast(surface))  # at most 20 x 40 cells, at every scale
     return T.visible(targets, surface, 12, 0.5, 1.25)
 
 

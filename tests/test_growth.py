@@ -133,3 +133,17 @@ def test_near_mask_goes_over_a_column_once(spark, duck):
     assert "currentrow$(), unboundedfollowing$()" not in plan(df)  # gone through anew for every cell: the square of a column's length
     assert "unboundedpreceding$(), currentrow$()" in plan(df)
     assert same(spark, duck, "near_mask")
+
+
+def test_visibility_looks_places_up_without_a_shuffle_of_rays(spark, duck):
+    from aeroquilt.operators import terrain as T
+
+    df = catalogue.QUERIES["visibility"](spark, DATA)
+    assert "Generate" not in plan(df)  # each ray was a row of a shuffle for each of its places
+    assert same(spark, duck, "visibility")
+    rng = np.random.default_rng(10)
+    z = [(r, c, None if rng.random() < 0.2 else float(rng.uniform(0, 20))) for r in range(-3, 9) for c in range(2, 15) if rng.random() < 0.9]
+    surface = spark.createDataFrame(z, "row int, col int, z double")
+    cams = spark.createDataFrame([(k, *map(float, rng.uniform(-10, 30, 2)), 25.0) for k in range(5)] + [(9, None, 3.0, 25.0)], "cam_id long, cx double, cy double, cz double")
+    every = [sorted(map(tuple, T.visible(cams.crossJoin(surface), surface, 12, 0.5, 1.25, small).select("cam_id", "row", "col", "visible").collect())) for small in (4096, 10)]
+    assert every[0] == every[1] and len({r[3] for r in every[0]}) == 2
