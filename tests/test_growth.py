@@ -147,3 +147,12 @@ def test_visibility_looks_places_up_without_a_shuffle_of_rays(spark, duck):
     cams = spark.createDataFrame([(k, *map(float, rng.uniform(-10, 30, 2)), 25.0) for k in range(5)] + [(9, None, 3.0, 25.0)], "cam_id long, cx double, cy double, cz double")
     every = [sorted(map(tuple, T.visible(cams.crossJoin(surface), surface, 12, 0.5, 1.25, small).select("cam_id", "row", "col", "visible").collect())) for small in (4096, 10)]
     assert every[0] == every[1] and len({r[3] for r in every[0]}) == 2
+
+
+def test_neighbours_are_sought_in_many_tasks_and_each_ring_once(spark, duck):
+    pts = spark.createDataFrame([(k, float(k % 40), float(k // 40)) for k in range(400)], "id long, x double, y double").coalesce(1)
+    near = S.radius_join(pts.selectExpr("id as i", "x as qx", "y as qy"), pts.selectExpr("id as j", "x as px", "y as py"), 3.0)
+    assert near.rdd.getNumPartitions() >= 16  # one before: the join was broadcast
+    df = catalogue.QUERIES["knn_pairs"](spark, DATA)
+    assert "gx" not in plan(df)  # the search of every ring was in the plan of the result, and of each test for the next
+    assert same(spark, duck, "knn_pairs")
