@@ -156,3 +156,15 @@ def test_neighbours_are_sought_in_many_tasks_and_each_ring_once(spark, duck):
     df = catalogue.QUERIES["knn_pairs"](spark, DATA)
     assert "gx" not in plan(df)  # the search of every ring was in the plan of the result, and of each test for the next
     assert same(spark, duck, "knn_pairs")
+
+
+def test_far_points_are_projected_to_the_last_bit(spark, tmp_path):
+    """Cameras and points of a survey of kilometres: pixels up to 1e11."""
+    c = duckdb.connect()
+    c.execute("create table supplier as select range * 7 as s_suppkey from range(900)")
+    c.execute("create table part as select range * 131 as p_partkey, range % 50 + 1 as p_size from range(900)")
+    for t in ("supplier", "part"):
+        c.execute(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    want = c.sql(catalogue.SQL["project_points"]).fetchall()
+    got = catalogue.QUERIES["project_points"](spark, str(tmp_path)).select("cam_id", "pt_id", "u", "v", "depth").collect()
+    assert len(want) > 5000 and max(abs(r[2]) for r in want) > 1e9 and sorted(map(tuple, got)) == sorted(want)
